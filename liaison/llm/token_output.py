@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -17,7 +18,7 @@ from .common import column, raw_text
 #: Ids of a block, about; a longer document has a block of its own.
 BLOCK_IDS = 1 << 18
 #: Words whose ids a worker remembers at a time.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 
 BLOCKS = "shard int, block int, first_id long, bits int, doc_ids array<long>, doc_lengths array<long>, packed binary"
 
@@ -49,9 +50,14 @@ def unpack(packed: bytes, bits: int, n: int, start: int = 0) -> np.ndarray:
 
 
 class WordIds:
-    """A tokenizer that drops white space, asked once for each word: its ids as little-endian uint32 bytes.
+    """The ids of texts as little-endian uint32 bytes, asking the tokenizer once for each word.
 
-    ASCII white space never lies within a token of such a vocabulary, so the ids of a text are those of its words."""
+    A vocabulary whose words end in `</w>` drops white space, and ASCII white space never lies within a token, so the ids of
+    a text are those of its words. A word of letters and a tail of ASCII signs is asked for as those two; letters alone are
+    one word of the vocabulary's own split, so many can be asked for at once and told apart by their ends. For other
+    vocabularies whole texts are encoded."""
+
+    LETTERS = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,17 +65,45 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.letters: dict[bytes, bytes] = {b"": b""}
+
+    def _ask(self, words: list[bytes]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in got]
+
+    def _ask_letters(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 200):
+            part = words[at : at + 200]
+            ids = np.frombuffer(self._ask([b" ".join(part)])[0], "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            if len(ends) == len(part):
+                self.letters.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends))))
+            else:
+                self.letters.update(zip(part, self._ask(part)))
+
+    def _learn(self, words: set[bytes]) -> None:
+        split = [(w, self.LETTERS.fullmatch(w.lower())) for w in words]
+        whole = [w for w, m in split if not m]
+        self.known.update(zip(whole, self._ask(whole)))
+        self._ask_letters(list({m[1] for _, m in split if m} - self.letters.keys()))
+        tails = list({m[2] for _, m in split if m} - self.letters.keys())
+        self.letters.update(zip(tails, self._ask(tails)))
+        self.known.update((w, self.letters[m[1]] + self.letters[m[2]]) for w, m in split if m)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
+        if not self.ends.any():
+            return self._ask(texts)
         split = [t.split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set().union(*split) - self.known.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(part, got))
+        for held in (self.known, self.letters):
+            if len(held) > REMEMBERED:
+                held.clear()
+        self.letters[b""] = b""
+        self._learn(set().union(*split) - self.known.keys())
         look = self.known.__getitem__
         return [b"".join(map(look, words)) for words in split]
 
