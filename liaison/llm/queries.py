@@ -1,8 +1,9 @@
 """The queries of this package."""
 
-from . import simhash, token_output
+from . import quality, simhash, token_output
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op8_simhash": simhash.op8_simhash,
     "op10_token_ids": token_output.op10_token_ids,
 }
