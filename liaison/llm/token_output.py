@@ -86,12 +86,12 @@ class WordIds:
             else:
                 self.letters.update(zip(part, self._ask(part)))
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         split = [(w, self.LETTERS.fullmatch(w.lower())) for w in words]
         whole = [w for w, m in split if not m]
         self.known.update(zip(whole, self._ask(whole)))
-        self._ask_letters(list({m[1] for _, m in split if m} - self.letters.keys()))
-        tails = list({m[2] for _, m in split if m} - self.letters.keys())
+        self._ask_letters([w for w in {m[1] for _, m in split if m} if w not in self.letters])
+        tails = [w for w in {m[2] for _, m in split if m} if w not in self.letters]
         self.letters.update(zip(tails, self._ask(tails)))
         self.known.update((w, self.letters[m[1]] + self.letters[m[2]]) for w, m in split if m)
 
@@ -103,7 +103,7 @@ class WordIds:
             if len(held) > REMEMBERED:
                 held.clear()
         self.letters[b""] = b""
-        self._learn(set().union(*split) - self.known.keys())
+        self._learn([w for w in set().union(*split) if w not in self.known])
         look = self.known.__getitem__
         return [b"".join(map(look, words)) for words in split]
 
