@@ -1,9 +1,11 @@
 """The queries of this package."""
 
-from . import quality, simhash, token_output, toxicity
+from . import decontamination, quality, sentence_dedup, simhash, token_output, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op4_decontamination": decontamination.op4_decontamination,
+    "op6_sentence_spans": sentence_dedup.op6_sentence_spans,
     "op8_simhash": simhash.op8_simhash,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_ids": token_output.op10_token_ids,
