@@ -15,7 +15,7 @@ from .common import column, fold, raw_text, table_batch, words_of
 #: Buckets of n-grams, their lengths in bytes, embedding width, words of a segment, documents that make a bucket known.
 BUCKETS, GRAMS, DIM, SEGMENT, MIN_DOCS = 1 << 18, (3, 5, 7), 8, 12, 4
 #: The classifier is fitted on so many labelled rows of either label at most, those of the smallest id hash.
-MAX_ROWS = {1: 2500, 0: 3500}
+MAX_ROWS = {1: 1500, 0: 2500}
 STEPS, RATE, DECAY, SHARPNESS, SEED = 150, 0.05, 1e-5, (1.0, 4.0), 11
 THRESHOLD = 0.3
 #: Words whose logits a worker remembers at a time.
@@ -44,6 +44,14 @@ class Softmax:
         return self.e @ (self.v[:, 1] - self.v[:, 0]), float(self.b[1] - self.b[0])
 
 
+def _sums(into: np.ndarray, values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """values[of] added up by `into`, a part at a time to save memory."""
+    out = np.zeros(n)
+    for at in range(0, len(of), 1 << 21):
+        out += np.bincount(into[at : at + (1 << 21)], values[of[at : at + (1 << 21)]], n)
+    return out
+
+
 def fit(texts: list[bytes], labels: np.ndarray, prior: float) -> Softmax:
     """Embeddings and weights together, by full-batch Adam on the documents' cross-entropy.
 
@@ -65,16 +73,15 @@ def fit(texts: list[bytes], labels: np.ndarray, prior: float) -> Softmax:
         docs_of.append(np.full(n, d))
         pairs.append(np.unique(own))
         seg += n
-    words, segments, doc_of = map(np.concatenate, (words, segments, docs_of))
-    lists = [grams(w) for w in ids]
-    size = np.array([len(x) for x in lists])
+    words, segments, doc_of = (np.concatenate(x).astype(np.int32) for x in (words, segments, docs_of))
+    size = np.fromiter((1 + sum(max(0, len(w) + 3 - n) for n in GRAMS) for w in ids), np.int32, len(ids))
     begin = np.append(0, np.cumsum(size)[:-1])
-    flat = np.fromiter((g for x in lists for g in x), np.int64, size.sum())
+    flat = np.fromiter((g for w in ids for g in grams(w)), np.int32, size.sum())
     seen = np.zeros(BUCKETS, np.int64)
     for own in pairs:
         seen[np.unique(np.concatenate([flat[begin[w] : begin[w] + size[w]] for w in own]))] += 1 if len(own) else 0
     model.e[seen < MIN_DOCS] = 0
-    word_of = np.repeat(np.arange(len(lists)), size)
+    word_of = np.repeat(np.arange(len(ids), dtype=np.int32), size)
     keep = seen[flat] >= MIN_DOCS
     flat, word_of = flat[keep], word_of[keep]
     length = np.bincount(segments, minlength=seg).clip(1)
@@ -82,7 +89,7 @@ def fit(texts: list[bytes], labels: np.ndarray, prior: float) -> Softmax:
     n_seg = np.diff(np.append(first, seg))
     weight = np.where(labels == 1, prior / labels.mean(), (1 - prior) / (1 - labels.mean())) / len(labels)
     trained = np.flatnonzero(seen >= MIN_DOCS)
-    back = np.zeros(BUCKETS, np.int64)
+    back = np.zeros(BUCKETS, np.int32)
     back[trained] = np.arange(len(trained))
     flat = back[flat]
     e = model.e[trained]
@@ -91,15 +98,15 @@ def fit(texts: list[bytes], labels: np.ndarray, prior: float) -> Softmax:
     for step in range(STEPS):
         sharp = SHARPNESS[0] + (SHARPNESS[1] - SHARPNESS[0]) * min(1, 2 * step / STEPS)
         d = model.v[:, 1] - model.v[:, 0]
-        word = np.bincount(word_of, (e @ d)[flat], len(lists)) / size
-        odds = np.bincount(segments, word[words], seg) / length + model.b[1] - model.b[0]
+        word = _sums(word_of, e @ d, flat, len(ids)) / size
+        odds = _sums(segments, word, words, seg) / length + model.b[1] - model.b[0]
         top = np.maximum.reduceat(odds, first)
         soft = np.exp(sharp * (odds - top[doc_of]))
         total = np.add.reduceat(soft, first)
         p = 1 / (1 + np.exp(-(top + np.log(total / n_seg) / sharp)))
         g_seg = ((p - labels) * weight)[doc_of] * soft / total[doc_of]
-        g_word = np.bincount(words, (g_seg / length)[segments], len(lists)) / size
-        g_bucket = np.bincount(flat, g_word[word_of], len(e))
+        g_word = _sums(words, g_seg / length, segments, len(ids)) / size
+        g_bucket = _sums(flat, g_word, word_of, len(e))
         g_v = e.T @ g_bucket
         grads = (np.outer(g_bucket, d) + DECAY * e, np.stack([-g_v, g_v], 1), np.array([-1, 1]) * g_seg.sum())
         for k, (param, g) in enumerate(zip((e, model.v, model.b), grads)):
