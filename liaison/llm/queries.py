@@ -1,12 +1,13 @@
 """The queries of this package."""
 
-from . import decontamination, mixing, quality, sentence_dedup, simhash, token_output, toxicity
+from . import decontamination, mixing, pii, quality, sentence_dedup, simhash, token_output, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op3_mixing": mixing.op3_mixing,
     "op4_decontamination": decontamination.op4_decontamination,
     "op6_sentence_spans": sentence_dedup.op6_sentence_spans,
+    "op7_pseudonyms": pii.op7_pseudonyms,
     "op8_simhash": simhash.op8_simhash,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_ids": token_output.op10_token_ids,
