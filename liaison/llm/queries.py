@@ -1,9 +1,10 @@
 """The queries of this package."""
 
-from . import decontamination, mixing, pii, quality, sentence_dedup, simhash, token_output, toxicity
+from . import decontamination, mixing, pii, pitman_yor, quality, sentence_dedup, simhash, token_output, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_pitman_yor": pitman_yor.op2_pitman_yor,
     "op3_mixing": mixing.op3_mixing,
     "op4_decontamination": decontamination.op4_decontamination,
     "op6_sentence_spans": sentence_dedup.op6_sentence_spans,
