@@ -1,12 +1,13 @@
 """The queries of this package."""
 
-from . import decontamination, mixing, pii, pitman_yor, quality, sentence_dedup, simhash, token_output, toxicity
+from . import decontamination, mixing, pii, pitman_yor, quality, sentence_dedup, simhash, token_output, toxicity, webp
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_pitman_yor": pitman_yor.op2_pitman_yor,
     "op3_mixing": mixing.op3_mixing,
     "op4_decontamination": decontamination.op4_decontamination,
+    "op5_webp": webp.op5_webp,
     "op6_sentence_spans": sentence_dedup.op6_sentence_spans,
     "op7_pseudonyms": pii.op7_pseudonyms,
     "op8_simhash": simhash.op8_simhash,
