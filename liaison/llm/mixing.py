@@ -15,6 +15,8 @@ from .common import column, raw_text, sum_arrays, table_batch
 #: Buckets of byte pairs; byte pairs that a text's evidence counts for at most; decimals of a posterior; domains at most.
 BUCKETS, EVIDENCE, DECIMALS, MAX_DOMAINS = 4096, 4.0, 2, 64
 ROUNDS, TOLERANCE = 40, 1e-6
+#: The classifier is fitted on so many labelled rows at most, those of the smallest id hash; the bound keeps them broadcast.
+MAX_LABELLED = 20_000
 #: Production targets of the query and the pipeline: shares of tokens for each language.
 TARGETS = {"en": 0.55, "fr": 0.16, "de": 0.15, "es": 0.14}
 
@@ -99,8 +101,8 @@ def rates(p: np.ndarray, steps: list[np.ndarray], floor: float) -> np.ndarray:
 def mixing(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain_col: str = "lang", floor: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`(doc_id, n_tokens, membership, rate)` for every row of `docs`.
 
-    `targets` has a weight for each domain of the classifier (MAX_DOMAINS at most). It learns from the rows whose id is in
-    `labels` and whose `domain_col` is one of the targets; with no such rows memberships are the targets themselves. The
+    `targets` has a weight for each domain of the classifier (MAX_DOMAINS at most). It learns from rows whose id is in
+    `labels` (MAX_LABELLED ids at most) and whose `domain_col` is one of the targets; with no such rows memberships are the targets themselves. The
     totals aimed at have the targets' proportions and are the least that no domain has to shrink for. Null and empty texts
     have 0 tokens and the prior's membership; repeated rows each count; a null id or domain is never learnt from. `floor`
     is the smallest rate allowed; an empty table gives no rows."""
@@ -109,7 +111,8 @@ def mixing(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain
     weights = np.array([targets[d] for d in domains]) / sum(targets.values())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(domain_col).cast("string").alias("domain"))
     named = labels.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
-    model = fit_membership(raw_text(rows.where(F.col("domain").isin(domains)).join(named, "doc_id", "left_semi"), "domain"), domains)
+    named = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    model = fit_membership(raw_text(rows.where(F.col("domain").isin(domains)).join(F.broadcast(named), "doc_id", "left_semi"), "domain"), domains)
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("p", pa.list_(pa.float64()))])
 
     def member(batches):
