@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 def metrics_mean(rows: DataFrame, keys: list[str], values: list[str], drop_null_keys: bool = False) -> DataFrame:
     """Means by keys. A null key is a group of its own, or leaves the table with `drop_null_keys`."""
     rows = rows.dropna(subset=keys) if drop_null_keys else rows
-    return rows.groupBy(*keys).agg(*(F.avg(v).alias(v) for v in values))
+    return rows.groupBy(*keys).agg(*(F.avg(f"`{v}`").alias(v) for v in values))
 
 
 def melted(rows: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     """`(keys, metric, quantile, value)` from columns `<metric>_quantile_<q>` that start with `prefix`."""
     names = [c for c in rows.columns if c.startswith(prefix)]
-    long = rows.unpivot(keys, names, "name", "value")
+    long = rows.unpivot(keys, [f"`{n}`" for n in names], "name", "value")
     metric, q = F.regexp_extract("name", "(.*)_quantile_(.*)", 1), F.regexp_extract("name", "(.*)_quantile_(.*)", 2)
     return long.select(*keys, metric.alias("metric"), F.round(q.cast("double"), 4).alias("quantile"), "value")
 

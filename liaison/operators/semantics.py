@@ -50,7 +50,7 @@ def tf_idf(names: DataFrame, sizes: tuple[int, int] = (3, 5)) -> DataFrame:
     grams = None
     for n in range(sizes[0], sizes[1] + 1):
         at = F.sequence(F.lit(1), F.greatest(F.length("word") - n + 1, F.lit(1)))
-        own = padded.where(F.length("word") >= n).select("id", F.explode(F.transform(at, lambda i, n=n: F.substr("word", i, F.lit(n)))).alias("gram"))
+        own = padded.where(F.length("word") >= n).select("id", F.explode(at).alias("at"), "word").select("id", F.substr("word", "at", F.lit(n)).alias("gram"))
         grams = own if grams is None else grams.union(own)
     tf = grams.groupBy("id", "gram").agg(F.count("*").alias("tf"))
     df = tf.groupBy("gram").agg(F.count("*").alias("df"))
