@@ -7,6 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -48,3 +49,19 @@ def sum_arrays(df: DataFrame, keys: list[str], fan: int = 64) -> DataFrame:
     salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(fan)))
     once = salted.groupBy(*keys, "_salt").applyInPandas(add, f"{kinds}, packed binary")
     return once.groupBy(*keys).applyInPandas(add, f"{kinds}, packed binary")
+
+
+def with_columns(docs: DataFrame, fields: list[tuple[str, str]], start, text_col: str = "text") -> DataFrame:
+    """`docs` with further columns, `(name, type)`, that are made from each row's whole text in the task that reads it.
+
+    `start()` gives, once for each task, a function from a list of texts (as bytes) to the arrays of those columns."""
+    kinds = T.StructType([*docs.schema.fields, *(T.StructField(n, T._parse_datatype_string(k)) for n, k in fields)])
+
+    def run(batches):
+        made = start()
+        for b in batches:
+            texts = b.column(b.num_columns - 1).to_pylist()
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made(texts)], [*b.schema.names[:-1], *(n for n, _ in fields)])
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    return docs.select("*", text.alias("__text_bytes")).mapInArrow(run, kinds)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, raw_text, words_of
+from .common import column, raw_text, with_columns, words_of
 
 #: A passage is WINDOW words, one every half window; an item is retrieved at THRESHOLD of its own score and confirmed when
 #: both its question and its answer have OVERLAP of their word pairs in the passage.
@@ -181,6 +181,12 @@ def op4_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
-    held = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(held.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold a test item go; a map over the texts for each index."""
+    for index in indexes(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
+
+        def clean(texts, index=index):
+            held = {at + d for at in range(0, len(texts), 200) for d, *_ in index.confirmed(texts[at : at + 200])}
+            return [pa.array([d not in held for d in range(len(texts))], pa.bool_())]
+
+        docs = with_columns(docs, [("__clean", "boolean")], lambda clean=clean: clean).where("__clean").drop("__clean")
+    return docs

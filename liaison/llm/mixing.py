@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import materialise
-from .common import column, raw_text, sum_arrays, table_batch
+from .common import column, raw_text, sum_arrays, table_batch, with_columns
 
 #: Buckets of byte pairs; byte pairs that a text's evidence counts for at most; decimals of a posterior; domains at most.
 BUCKETS, EVIDENCE, DECIMALS, MAX_DOMAINS = 4096, 4.0, 2, 64
@@ -98,44 +98,60 @@ def rates(p: np.ndarray, steps: list[np.ndarray], floor: float) -> np.ndarray:
     return r
 
 
+class Mixture:
+    """The classifier and the steps that turn a membership into a rate, and the memberships of the rows it was fitted on."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain_col: str, floor: float, id_col: str, text_col: str):
+        self.domains, self.floor = sorted(targets), floor
+        assert 0 < len(self.domains) <= MAX_DOMAINS
+        weights = np.array([targets[d] for d in self.domains]) / sum(targets.values())
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(domain_col).cast("string").alias("domain"))
+        named = labels.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
+        named = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+        self.model = fit_membership(raw_text(rows.where(F.col("domain").isin(self.domains)).join(F.broadcast(named), "doc_id", "left_semi"), "domain"), self.domains)
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("p", pa.list_(pa.float64()))])
+        memberships, k = self.memberships, len(self.domains)
+
+        def member(batches):
+            for b in batches:
+                texts = column(b, "_text").to_pylist()
+                p = memberships(texts)
+                lists = pa.ListArray.from_arrays(np.arange(len(p) + 1, dtype=np.int32) * k, p.ravel())
+                yield table_batch(schema, doc_id=column(b, "doc_id"), n=[len(t.split()) for t in texts], p=lists)
+
+        self.soft = materialise(raw_text(rows, "doc_id").mapInArrow(member, "doc_id long, n long, p array<double>"), "memberships")
+        cells = materialise(self.soft.groupBy("p").agg(F.sum("n").alias("n")), "cells")
+        have = np.array([x or 0.0 for x in cells.agg(*(F.sum(F.col("p")[i] * F.col("n")).alias(f"t{i}") for i in range(k))).first()])
+        self.steps = fit_steps(cells, weights * max(have / np.maximum(weights, 1e-12)), floor) if have.sum() else []
+
+    @property
+    def memberships(self):
+        model, k = self.model, len(self.domains)
+
+        def of(texts: list[bytes]) -> np.ndarray:
+            p = np.round([model(t) for t in texts], DECIMALS).reshape(-1, k)
+            return p / p.sum(axis=1, keepdims=True)
+
+        return of
+
+
 def mixing(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain_col: str = "lang", floor: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`(doc_id, n_tokens, membership, rate)` for every row of `docs`.
 
     `targets` has a weight for each domain of the classifier (MAX_DOMAINS at most). It learns from rows whose id is in
-    `labels` (MAX_LABELLED ids at most) and whose `domain_col` is one of the targets; with no such rows memberships are the targets themselves. The
-    totals aimed at have the targets' proportions and are the least that no domain has to shrink for. Null and empty texts
-    have 0 tokens and the prior's membership; repeated rows each count; a null id or domain is never learnt from. `floor`
-    is the smallest rate allowed; an empty table gives no rows."""
-    domains = sorted(targets)
-    assert 0 < len(domains) <= MAX_DOMAINS
-    weights = np.array([targets[d] for d in domains]) / sum(targets.values())
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(domain_col).cast("string").alias("domain"))
-    named = labels.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
-    named = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    model = fit_membership(raw_text(rows.where(F.col("domain").isin(domains)).join(F.broadcast(named), "doc_id", "left_semi"), "domain"), domains)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("p", pa.list_(pa.float64()))])
-
-    def member(batches):
-        for b in batches:
-            texts = column(b, "_text").to_pylist()
-            p = np.round([model(t) for t in texts], DECIMALS).reshape(-1, len(domains))
-            p = p / p.sum(axis=1, keepdims=True)
-            lists = pa.ListArray.from_arrays(np.arange(len(p) + 1, dtype=np.int32) * len(domains), p.ravel())
-            yield table_batch(schema, doc_id=column(b, "doc_id"), n=[len(t.split()) for t in texts], p=lists)
-
-    soft = materialise(raw_text(rows, "doc_id").mapInArrow(member, "doc_id long, n long, p array<double>"), "memberships")
-    cells = materialise(soft.groupBy("p").agg(F.sum("n").alias("n")), "cells")
-    sums = cells.agg(*(F.sum(F.col("p")[k] * F.col("n")).alias(f"t{k}") for k in range(len(domains)))).first()
-    have = np.array([x or 0.0 for x in sums])
-    steps = fit_steps(cells, weights * max(have / np.maximum(weights, 1e-12)), floor) if have.sum() else []
+    `labels` (MAX_LABELLED ids at most) and whose `domain_col` is one of the targets; with no such rows memberships are
+    equal. The totals aimed at have the targets' proportions and are the least that no domain has to shrink for. Null and
+    empty texts have 0 tokens and the prior's membership; repeated rows each count; a null id or domain is never learnt
+    from. `floor` is the smallest rate allowed; an empty table gives no rows."""
+    mix = Mixture(docs, labels, targets, domain_col, floor, id_col, text_col)
+    domains, steps = mix.domains, mix.steps
 
     def rated(batches):
-        out = pa.schema([*schema, ("rate", pa.float64())])
         for b in batches:
             p = np.asarray(column(b, "p").flatten()).reshape(-1, len(domains))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates(p, steps, floor))], schema=out)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates(p, steps, floor))], ["doc_id", "n", "p", "rate"])
 
-    found = soft.mapInArrow(rated, "doc_id long, n long, p array<double>, rate double")
+    found = mix.soft.mapInArrow(rated, "doc_id long, n long, p array<double>, rate double")
     by_name = F.map_from_arrays(F.array(*map(F.lit, domains)), "p")
     return found.select("doc_id", F.col("n").alias("n_tokens"), by_name.alias("membership"), "rate")
 
@@ -147,11 +163,12 @@ def op3_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document is given as many rows as its rate says: the whole part, and one more by its id's hash for the rest.
+    """Each row is given as many rows as its rate says: the whole part, and one more by its id's hash for the rest.
 
-    Rates have a floor of 1 here, so no document is lost. An id that stands on several rows takes their largest rate."""
-    found = mixing(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS, floor=1.0).where("doc_id is not null")
+    Rates have a floor of 1 here, so no document is lost. The rates are found in a map over the texts."""
+    mix = Mixture(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS, "lang", 1.0, "doc_id", "text")
+    memberships, steps = mix.memberships, mix.steps
+    rated = with_columns(docs, [("__rate", "double")], lambda: lambda texts: [pa.array(rates(memberships(texts), steps, 1.0))])
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mixing")), F.lit(1 << 20)) / (1 << 20)
-    times = found.groupBy("doc_id").agg(F.max("rate").alias("rate")).select("doc_id", F.floor(F.col("rate") + u).cast("int").alias("_times"))
-    more = docs.join(times.where("_times > 1"), "doc_id", "left")
-    return more.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.coalesce("_times", F.lit(1)))).alias("_row")).select(docs.columns)
+    times = F.floor(F.col("__rate") + u).cast("int")
+    return rated.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1)))).alias("__row")).select(docs.columns)

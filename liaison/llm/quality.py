@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import materialise
-from .common import column, fold, raw_text, sum_arrays, table_batch
+from .common import column, fold, raw_text, sum_arrays, table_batch, with_columns
 
 #: Random features, kernel width in standard deviations for each statistic, ridge penalty for each row, calibration bins.
 FEATURES, WIDTH, RIDGE, BINS, SEED = 256, 5.0, 1e-3, 4096, 7
@@ -149,9 +149,7 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int =
     texts have statistics of zero and get a score like any other. Repeated rows are each scored; a repeated label counts
     each time. A null id is never labelled, and is not held out."""
     stats = materialise(statistics_of(docs, id_col, text_col), "statistics")
-    named = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("label is not null")
-    rows = stats.join(named, "doc_id").select("doc_id", "x", "label", fold(F.col("doc_id"), folds).alias("fold")).where(F.col("fold") != held_out)
-    model = fit(materialise(rows, "labelled"))
+    model = learn(stats, labels, folds, held_out, id_col)
 
     def score(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
@@ -163,12 +161,19 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int =
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def learn(stats: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, id_col: str = "doc_id") -> Model:
+    """Fit on the statistics of all labelled rows outside fold `held_out`."""
+    named = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("label is not null")
+    rows = stats.join(named, "doc_id").select("doc_id", "x", "label", fold(F.col("doc_id"), folds).alias("fold")).where(F.col("fold") != held_out)
+    return fit(materialise(rows, "labelled"))
+
+
 def op1_quality(spark, sf_dir: str) -> DataFrame:
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are predicted 0 go; an id that stands on several rows stays if one of them is predicted 1."""
-    scored = quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    gone = scored.where("doc_id is not null").groupBy("doc_id").agg(F.max("predicted").alias("p")).where("p = 0")
-    return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """Rows that are predicted 0 go. The fit takes the statistics of all rows; the filter is a map over the texts."""
+    model = learn(materialise(statistics_of(docs), "statistics"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    made = lambda texts: [pa.array(model.score(np.array([statistics(t) for t in texts], np.float32).reshape(-1, STATISTICS).astype(float)))]
+    return with_columns(docs, [("__score", "double")], lambda: made).where(F.col("__score") >= THRESHOLD).drop("__score")

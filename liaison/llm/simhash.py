@@ -184,4 +184,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows stays if one of them is its group's smallest."""
     found = near_duplicates(docs).where("doc_id is not null")
     gone = found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first")).where("not first")
-    return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
