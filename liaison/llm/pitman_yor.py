@@ -27,7 +27,7 @@ from ..shared import materialise
 from .common import column, fold, raw_text, sum_arrays, table_batch, words_of
 
 #: Contexts; bits of a word's hash; tokens of a bucket, about; documents of a block at most.
-CONTEXTS, WORD_BITS, BUCKET_TOKENS, BLOCK_DOCS = 1 << 16, 48, 500_000, 1000
+CONTEXTS, WORD_BITS, BUCKET_TOKENS, BLOCK_DOCS = 1 << 16, 48, 2_000_000, 1000
 #: Strengths of both levels; rounds that settle the totals; sweeps before the first sample, samples, moves in a sweep.
 STRENGTH, ROUNDS, BURN_IN, SAMPLES, MOVES, SEED = (1.0, 1.0), 2, 2, 3, 4, 5
 #: Tables of 1 .. SMALL - 1 customers are counted by size, larger ones together.
@@ -81,12 +81,19 @@ class Seating:
         while len(on := np.flatnonzero(seated < self.c)):
             more = np.minimum(self.c[on] - seated[on], np.maximum(1, seated[on] // 4))
             new = self.rng.binomial(more, self._share_new(on, seated[on], opening))
+            self._pool(on[(new < more) & (self.m[on, 0] == 0)])
             self.m[on, 1] += new
-            self.m[on, 0] = np.maximum(self.m[on, 0], 1)
             self.large[on] += more - new
             seated[on] += more
         self._count()
 
+    def _pool(self, on: np.ndarray) -> None:
+        """The pairs' largest tables are counted with the larger ones from now on, as those who join in leaps sit there."""
+        size = SMALL - 1 - (self.m[on, :0:-1][:, 1:] > 0).argmax(axis=1)
+        self.m[on, size] -= 1
+        self.m[on, 0] += 1
+        self.large[on] += size
+
     def _share_new(self, on, seated, opening):
         a = opening[self.pairs[on]]
         return a / np.maximum(seated - self.d * self.m[on].sum(axis=1) + a, 1e-12)
@@ -125,9 +132,10 @@ class Seating:
             big, own = on[at == 0], on[at > 0]
             self.large[big] -= 1
             shrunk = big[self.large[big] < SMALL * self.m[big, 0]]
+            left = np.where(self.m[shrunk, 0] == 1, self.large[shrunk], SMALL - 1)  # the last of them has all that are left
             self.m[shrunk, 0] -= 1
-            self.m[shrunk, SMALL - 1] += 1
-            self.large[shrunk] -= SMALL - 1
+            self.large[shrunk] -= left
+            self.m[shrunk[left > 0], left[left > 0]] += 1
             small = at[at > 0]
             self.m[own, small] -= 1
             left = small > 1
@@ -141,10 +149,10 @@ class Bucket:
     """The pairs of one bucket: keys (word and context), training customers, and where each document has them."""
 
     def __init__(self, name: int, keys: np.ndarray, count: np.ndarray, hot: np.ndarray):
-        self.name, self.context, self.count = name, (keys & np.uint64(CONTEXTS - 1)).astype(np.int64), count
+        self.name, self.context, self.count = name, (keys & np.uint64(CONTEXTS - 1)).astype(np.int32), count
         words = keys >> np.uint64(16)
         first = np.diff(words, prepend=words[:1] + np.uint64(1)) != 0
-        self.word = np.cumsum(first) - 1
+        self.word = (np.cumsum(first) - 1).astype(np.int32)
         self.words = words[first]
         where = np.searchsorted(hot, self.words)
         self.hot = np.flatnonzero(np.isin(self.words, hot))
@@ -308,10 +316,9 @@ def settle(table: DataFrame, state: dict) -> dict:
 
     def run(batches):
         total = None
-        for b in batches:
-            for row in b.select(["bucket", "keys", "count"]).to_pylist():
-                own = _totals(_bucket(row, state["hot"]), state)
-                total = own if total is None else total + own
+        for row in (b.slice(i, 1).to_pylist()[0] for b in batches for i in range(b.num_rows)):
+            own = _totals(_bucket(row, state["hot"]), state)
+            total = own if total is None else total + own
         if total is not None:
             yield table_batch(pa.schema([("k", pa.int32()), ("packed", pa.binary())]), k=[0], packed=[total.tobytes()])
 
@@ -327,37 +334,41 @@ def settle(table: DataFrame, state: dict) -> dict:
     }
 
 
+SUMS = "block long, docs array<long>, held array<boolean>, doc binary, sums array<binary>"
+
+
 def scores(table: DataFrame, state: dict) -> DataFrame:
-    """`(block, packed)`: for each document of a block its tokens, known tokens, base score and score, as far as this bucket goes."""
-    schema = pa.schema([("block", pa.int64()), ("packed", pa.binary())])
+    """For each block what this bucket adds to those of its documents that have words here: tokens, known tokens, base score
+    and score, the scores in units of 1e-9 and 1e-6 (none is above 0)."""
+    schema = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("doc", pa.binary()), ("sums", pa.list_(pa.binary()))])
     n_train, vocabulary = state["tokens"], state["words"]
 
     def run(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                bucket = _bucket(row, state["hot"])
-                count = bucket.by_word(bucket.count)
-                count[bucket.hot] = state["hot_count"][bucket.hot_at]
-                base = np.log10((count + 1) / (n_train + vocabulary + 1))[bucket.word]
-                known = (count > 0)[bucket.word]
-                seen, total = np.zeros(len(bucket.word)), STRENGTH[1] + state["contexts"][bucket.context]
-                new = (STRENGTH[1] + state["discounts"][1] * state["tables"][bucket.context]) / total
-
-                def use(tables, parent):
-                    seen[:] += np.maximum(bucket.count - state["discounts"][1] * tables, 0) / total + new * parent
-
-                bucket.sample(state, BURN_IN + SAMPLES, use)
-                value = np.log10(np.maximum(seen / SAMPLES, 1e-300))
-                cuts = np.cumsum(row["sizes"])[:-1]
-                parts = (np.split(unsqueeze(row[k]).astype(np.int64), cuts) for k in ("at", "doc", "n"))
-                out = []
-                for at, doc, n in zip(*parts):
-                    at = np.cumsum(at)
-                    sums = [np.bincount(doc, n * x, BLOCK_DOCS) for x in (1, known[at], base[at], value[at])]
-                    out.append(np.stack(sums).astype(float).tobytes())
-                yield table_batch(schema, block=row["blocks"], packed=out)
-
-    return table.mapInArrow(run, "block long, packed binary")
+        for row in (b.slice(i, 1).to_pylist()[0] for b in batches for i in range(b.num_rows)):
+            bucket = _bucket(row, state["hot"])
+            count = bucket.by_word(bucket.count)
+            count[bucket.hot] = state["hot_count"][bucket.hot_at]
+            base = -np.log10((count + 1) / (n_train + vocabulary + 1))[bucket.word]
+            known = (count > 0)[bucket.word]
+            seen, total = np.zeros(len(bucket.word)), STRENGTH[1] + state["contexts"][bucket.context]
+            new = (STRENGTH[1] + state["discounts"][1] * state["tables"][bucket.context]) / total
+
+            def use(tables, parent):
+                seen[:] += np.maximum(bucket.count - state["discounts"][1] * tables, 0) / total + new * parent
+
+            bucket.sample(state, BURN_IN + SAMPLES, use)
+            value = -np.log10(np.clip(seen / SAMPLES, 1e-300, 1))
+            cuts = np.cumsum(row["sizes"])[:-1]
+            out = []
+            for at, doc, n in zip(*(np.split(unsqueeze(row[k]).view(np.int64), cuts) for k in ("at", "doc", "n"))):
+                at = np.cumsum(at)
+                has = np.unique(doc)
+                sums = [np.bincount(doc, n * x)[has] for x in (1, known[at], base[at] * 1e9, value[at] * 1e6)]
+                out.append((squeeze(np.diff(has, prepend=0)), [squeeze(np.rint(x).astype(np.uint64)) for x in sums]))
+            none = [None] * len(out)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((row["blocks"], none, none, [x[0] for x in out], [x[1] for x in out]), schema)], schema=schema)
+
+    return table.mapInArrow(run, SUMS)
 
 
 def pitman_yor(docs: DataFrame, folds: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -376,17 +387,21 @@ def pitman_yor(docs: DataFrame, folds: int = 7, held_out: int = 2, id_col: str =
              "parent_tables": max(1.0, train * 0.05), "discounts": (0.5, 0.7), "hot_count": np.zeros(len(hot)), "hot_tables": np.zeros(len(hot))}
     for _ in range(ROUNDS):
         state = settle(table, state)
-    sums = sum_arrays(scores(table, state), ["block"], fan=4)
-    names = every_bucket.where("bucket < 0").select(F.col("blocks")[0].alias("block"), "docs", "held")
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-    def named(batches):
-        for b in batches:
-            for docs, held, packed in zip(*(column(b, n).to_pylist() for n in ("docs", "held", "packed"))):
-                x = np.frombuffer(packed).reshape(4, BLOCK_DOCS)[:, : len(docs)]
-                yield table_batch(schema, doc_id=docs, held_out=held, n_tokens=x[0].astype(np.int64), n_known=x[1].astype(np.int64), base_score=x[2], score=x[3])
-
-    found = names.join(sums, "block").mapInArrow(named, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    names = every_bucket.where("bucket < 0").select(F.col("blocks")[0].alias("block"), "docs", "held", F.lit(None).cast("binary").alias("doc"), F.lit(None).cast("array<binary>").alias("sums"))
+    kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A block's rows, as many as its documents' words have buckets, into a row for each document."""
+        own = pdf[pdf["docs"].notna()].iloc[0]
+        total = np.zeros((4, len(own["docs"])))
+        for doc, sums in zip(pdf["doc"], pdf["sums"]):
+            if doc is not None:
+                at = np.cumsum(unsqueeze(doc)).astype(np.int64)
+                total[:, at] += [unsqueeze(x) for x in sums]
+        docs = pd.array([None if x is None or x != x else int(x) for x in own["docs"]], dtype="Int64")
+        return pd.DataFrame({"doc_id": docs, "held_out": list(own["held"]), "n_tokens": total[0].astype(np.int64), "n_known": total[1].astype(np.int64), "base_score": -total[2] / 1e9, "score": -total[3] / 1e6})
+
+    found = names.union(scores(table, state)).groupBy("block").applyInPandas(summed, kinds)
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), "base_score", "score", perplexity.alias("perplexity"))
 
