@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from .common import column, raw_text, with_columns, words_of
 
 #: A passage is WINDOW words, one every half window; an item is retrieved at THRESHOLD of its own score and confirmed when
-#: both its question and its answer have OVERLAP of their word pairs in the passage.
+#: both its question and its answer have OVERLAP of their word pairs in the passage. An item of over half a window is held
+#: against stretches as long as itself and a half window on either side, one every half window, with the same shares.
 WINDOW, THRESHOLD, OVERLAP = 128, 0.6, 0.6
 K1, B = 1.2, 0.75
 #: Items of an index and of a block, bytes of an index's items. A larger benchmark is taken in several indexes.
@@ -43,6 +44,7 @@ class Index:
     def __init__(self, items: list[tuple[int, bytes]], df: dict[bytes, int], n: int, mean: float):
         self.items = [(i, t) for i, t in sorted(items, key=lambda x: x[0]) if terms_of(t)]
         self.parts = [parts_of(t) for _, t in self.items]
+        self.strides = [-(-len(terms_of(t)) // (WINDOW // 2)) for _, t in self.items]
         self.ids = {w: k for k, w in enumerate(sorted({w for _, t in self.items for w in terms_of(t)}))}
         self.words = {v: k for w, k in self.ids.items() for v in (w, *(w + bytes([s]) for s in b".,;:!?"))}
         self.words |= {w: self.ids[t] for _, x in self.items for w, t in zip(words_of(x), terms_of(x))}
@@ -59,13 +61,17 @@ class Index:
             for k, c in enumerate(counts):
                 length = sum(c.values())
                 score = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean)) for w, f in c.items()}
-                limit = THRESHOLD * sum(score.values()) * min(1, WINDOW / 2 / length)
+                limit = THRESHOLD * sum(score.values()) * self._share(b * BLOCK + k)
                 for w, s in score.items():
                     impact[row[self.ids[w]], k] = s / limit
             self.blocks.append((row, impact))
             self.block_max[here, b] = impact[1:].max(axis=1)
         self.term_max = self.block_max.max(axis=1) if blocks else np.zeros(0, np.float32)
 
+    def _share(self, k: int) -> float:
+        """The part of an item's score that one window at least has when a stretch has it all: so many windows cover one."""
+        return 1 / (1 if self.strides[k] < 2 else -(-(self.strides[k] + 2) // 2))
+
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int, float]]:
         """`(text, window, item, score)` of all windows and items that reach the threshold."""
         half, get = WINDOW // 2, self.words.get
@@ -115,16 +121,62 @@ class Index:
         return window[keep], term[keep], hit[some]
 
     def confirmed(self, texts: list[bytes]) -> list[tuple[int, int, float, float, float]]:
-        """`(text, item_id, score, question, answer)`: the best of the windows that hold question and answer."""
+        """`(text, item_id, score, question, answer)`: the best of the windows or stretches that hold question and answer."""
         best: dict[tuple[int, int], tuple] = {}
+        long: dict[tuple[int, int], list[int]] = {}
         for d, w, k, score in self.search(texts):
+            if self.strides[k] > 1:
+                long.setdefault((d, k), []).append(w)
+                continue
             terms = terms_of(b" ".join(words_of(texts[d])[w * WINDOW // 2 : (w + 2) * WINDOW // 2]))
             pairs = set(zip(terms, terms[1:])) | set(zip(terms))
             q, a = (len(p & pairs) / len(p) for p in self.parts[k])
             if min(q, a) >= OVERLAP:
                 best[d, k] = max(best.get((d, k), ()), (score, q, a))
+        at, terms = -1, []
+        for d, k in sorted(long):
+            at, terms = d, terms if d == at else terms_of(texts[d])
+            if got := self._stretched(terms, k, long[d, k]):
+                best[d, k] = got
         return [(d, self.items[k][0], *x) for (d, k), x in sorted(best.items())]
 
+    def _stretched(self, terms: list[bytes], k: int, windows: list[int]) -> tuple:
+        """`(score, question, answer)` of the best stretch that holds the item and meets one of `windows`, or nothing.
+
+        What enters and leaves from one stretch to the next is counted, so the work grows with the text alone."""
+        half, n, (row, impact) = WINDOW // 2, self.strides[k] + 2, self.blocks[k // BLOCK]
+        own = {t: float(impact[row[self.ids[t]], k % BLOCK]) * THRESHOLD * self._share(k) for t in set(terms_of(self.items[k][1]))}
+        worth = {(t,): [s, 0, 0] for t, s in own.items()}
+        for i, part in enumerate(self.parts[k], 1):
+            for x in part:
+                worth.setdefault(x, [0.0, 0, 0])[i] = 1
+        size, chunks = [1.0, *map(len, self.parts[k])], -(-len(terms) // half)
+        held: Counter = Counter()
+        total, best, first, end = [0.0, 0, 0], (), 0, 0
+
+        def moved(chunk: int, sign: int) -> None:
+            x = terms[chunk * half : (chunk + 1) * half + 1]
+            for f in (*zip(x, x[1:]), *zip(x[:half])):
+                if f in worth:
+                    held[f] += sign
+                    if held[f] == (sign > 0):
+                        total[:] = [t + sign * v for t, v in zip(total, worth[f])]
+
+        for start in sorted({s for w in windows for s in range(max(0, w - n + 2), min(w + 2, chunks))}):
+            if start >= end:
+                held.clear()
+                total, first, end = [0.0, 0, 0], start, start
+            while end < min(start + n, chunks):
+                moved(end, 1)
+                end += 1
+            while first < start:
+                moved(first, -1)
+                first += 1
+            score, q, a = (t / s for t, s in zip(total, size))
+            if score >= THRESHOLD - 1e-4 and min(q, a) >= OVERLAP:
+                best = max(best, (min(score, 1.0), q, a))
+        return best
+
 
 def indexes(benchmark: DataFrame) -> list[Index]:
     """Indexes of at most about INDEX_ITEMS items each; term counts and lengths are those of the whole benchmark."""

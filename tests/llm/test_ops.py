@@ -391,6 +391,25 @@ def test_contamination_finds_planted_items(spark, docs, odd, empty, monkeypatch)
     assert decontamination.contamination(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [64, 65, 100, 150, 213, 250, 1000])
+def test_copies_of_long_items_are_found_at_every_offset(size):
+    rng = random.Random(size)
+    words = [f"w{rng.randrange(4 * size)}" for _ in range(size)]
+    words[size * 2 // 3] += "?"
+    filler = [f"f{rng.randrange(500)}" for _ in range(3 * size + 400)]
+    items = [(7, " ".join(words).encode()), (8, " ".join(f"x{i}" for i in range(30)).encode())]
+    df = collections.Counter(w for _, t in items for w in set(decontamination.terms_of(t)))
+    index = decontamination.Index(items, df, 2, (size + 30) / 2)
+    copies = [" ".join([*filler[:n], *words, *filler[n:]]).encode() for n in range(64)]
+    ends = [" ".join([*filler[:n], *words]).encode() for n in range(64)]
+    found = index.confirmed([*copies, *ends])
+    assert [(d, k) for d, k, *_ in found] == [(d, 7) for d in range(128)]
+    assert all(abs(score - 1) < 1e-4 and q == a == 1 for _, _, score, q, a in found)
+    half, mixed = words[: size // 2], rng.sample(words, size)
+    apart = [*words[: size * 2 // 3], *filler, *filler, *words[size * 2 // 3 :]]
+    assert not index.confirmed([" ".join([*filler, *x, *filler]).encode() for x in (half, mixed, apart)])
+
+
 # --- mixing ---
 
 
