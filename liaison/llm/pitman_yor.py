@@ -1,12 +1,13 @@
 """Language-model scores: a hierarchical Pitman-Yor model whose seatings are sampled by Gibbs.
 
 Three levels: a uniform base over the training words and one unknown, a restaurant of words, and a restaurant for each
-context (the word before, hashed to CONTEXTS); all contexts share the restaurant of words as parent. A restaurant's
-customers are tokens; each table that a context opens for a word is a customer of the parent.
+context (the word before, by as wide a hash as the words); all contexts share the restaurant of words as parent. A
+restaurant's customers are tokens; each table that a context opens for a word is a customer of the parent.
 
 Tokens travel as packed arrays by buckets of words. A bucket has all contexts of its words, but for very frequent words,
-whose contexts are dealt to all buckets. Totals that cross buckets (customers and tables of each context, and those of the
-frequent words) are of bounded size; each round samples against those of the round before.
+whose contexts are dealt to all buckets. Customers and tables of each context cross buckets: a bucket sends its contexts'
+sums by ranges of their hash, they are added up there and sent back, and each round samples against those of the round
+before. The totals of the frequent words are of bounded size.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from ..shared import materialise
 from .common import column, fold, raw_text, sum_arrays, table_batch, words_of
 
-#: Contexts; bits of a word's hash; tokens of a bucket, about; documents of a block at most.
-CONTEXTS, WORD_BITS, BUCKET_TOKENS, BLOCK_DOCS = 1 << 16, 48, 2_000_000, 1000
+#: Bits of a word's hash; tokens of a bucket, about; documents of a block at most.
+WORD_BITS, BUCKET_TOKENS, BLOCK_DOCS = 48, 2_000_000, 1000
 #: Strengths of both levels; rounds that settle the totals; sweeps before the first sample, samples, moves in a sweep.
 STRENGTH, ROUNDS, BURN_IN, SAMPLES, MOVES, SEED = (1.0, 1.0), 2, 2, 3, 4, 5
 #: Tables of 1 .. SMALL - 1 customers are counted by size, larger ones together.
@@ -50,16 +51,27 @@ def unsqueeze(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").ravel()
 
 
-def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes with one end for each text, the context of each token, and the tokens' texts."""
+def ascending(a: np.ndarray) -> bytes:
+    return squeeze(np.diff(a, prepend=a.dtype.type(0)))
+
+
+def restored(b: bytes) -> np.ndarray:
+    return np.cumsum(unsqueeze(b), dtype=np.uint64)
+
+
+def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted hashes of all words, with one end for each text; each token's place in them, that of the token before it
+    (its context), and the tokens' texts."""
     split = [words_of(t) + [END] for t in texts]
     known = {w: word_hash(w) for w in set().union(*split)} if split else {}
+    names = np.unique(np.fromiter(known.values(), np.uint64, len(known)))
+    place = dict(zip(known, np.searchsorted(names, np.fromiter(known.values(), np.uint64, len(known))).tolist()))
     size = np.array([len(w) for w in split], np.int64)
-    words = np.fromiter((known[w] for own in split for w in own), np.uint64, size.sum())
+    words = np.fromiter((place[w] for own in split for w in own), np.int64, size.sum())
     before = np.roll(words, 1)
     if len(words):
-        before[np.append(0, np.cumsum(size)[:-1])] = word_hash(END)
-    return words, before & np.uint64(CONTEXTS - 1), np.repeat(np.arange(len(texts)), size)
+        before[np.append(0, np.cumsum(size)[:-1])] = place[END]
+    return names, words, before, np.repeat(np.arange(len(texts)), size)
 
 
 class Seating:
@@ -146,18 +158,20 @@ class Seating:
 
 
 class Bucket:
-    """The pairs of one bucket: keys (word and context), training customers, and where each document has them."""
-
-    def __init__(self, name: int, keys: np.ndarray, count: np.ndarray, hot: np.ndarray):
-        self.name, self.context, self.count = name, (keys & np.uint64(CONTEXTS - 1)).astype(np.int32), count
-        words = keys >> np.uint64(16)
-        first = np.diff(words, prepend=words[:1] + np.uint64(1)) != 0
-        self.word = (np.cumsum(first) - 1).astype(np.int32)
-        self.words = words[first]
+    """The pairs of one bucket: word and context, training customers, and the totals of its contexts over all buckets."""
+
+    def __init__(self, row: dict, hot: np.ndarray):
+        self.name, self.words, self.contexts = row["bucket"], restored(row["words"]), restored(row["names"])
+        self.word, self.context = restored(row["word"]).astype(np.int32), unsqueeze(row["context"]).astype(np.int32)
+        self.count = unsqueeze(row["count"]).astype(np.int64)
+        self.customers, self.tables = (np.concatenate([unsqueeze(x) for x in row[k]]).astype(float) if row.get(k) else None for k in ("customers", "tables"))
         where = np.searchsorted(hot, self.words)
         self.hot = np.flatnonzero(np.isin(self.words, hot))
         self.hot_at = where[self.hot]
 
+    def by_context(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.context, values, len(self.contexts))
+
     def by_word(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.word, values, len(self.words))
 
@@ -167,7 +181,7 @@ class Bucket:
         (d1, d2), (s1, s2) = state["discounts"], STRENGTH
         count = self.by_word(self.count)
         count[self.hot] = state["hot_count"][self.hot_at]
-        opened = (s2 + d2 * state["tables"])[self.context]
+        opened = (s2 + d2 * (self.customers * 0.5 if self.tables is None else self.tables))[self.context]
         words_in_base = 1 / (state["words"] + 1)
         p = count / max(1, state["tokens"]) if state["customers"] is None else None
         seats = parent = None
@@ -198,140 +212,196 @@ class Bucket:
         return seats.tables, parent.tables
 
 
-def _totals(bucket: Bucket, state: dict) -> np.ndarray:
-    """What a bucket adds to the totals: tables of each context, then scalars and counts of counts, then the hot words."""
+def _totals(bucket: Bucket, state: dict) -> tuple[np.ndarray, np.ndarray]:
+    """What a bucket adds to the totals: tables of its contexts; scalars and counts of counts, then the hot words."""
     tables, parent = bucket.sample(state, BURN_IN + 1)
     cold = np.setdiff1d(np.arange(len(bucket.words)), bucket.hot)
     customers, counts = bucket.by_word(tables), bucket.by_word(bucket.count)
     hot = np.zeros((2, len(state["hot"])))
     np.add.at(hot, (slice(None), bucket.hot_at), np.stack([counts[bucket.hot], customers[bucket.hot]]))
     scalars = [(counts[cold] > 0).sum(), tables.sum(), parent[cold].sum(), (bucket.count == 1).sum(), (bucket.count == 2).sum(), (customers[cold] == 1).sum(), (customers[cold] == 2).sum(), 0]
-    return np.concatenate([np.bincount(bucket.context, tables, CONTEXTS), scalars, hot.ravel()]).astype(float)
+    return bucket.by_context(tables), np.concatenate([scalars, hot.ravel()]).astype(float)
 
 
-def heavy_words(rows: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """Tokens of all texts, training tokens, customers of each context, and the words of a 1/2000 of a task's tokens or more.
+def heavy_words(rows: DataFrame) -> tuple[int, int, np.ndarray]:
+    """Tokens of all texts, training tokens, and the words of a 1/2000 of a task's tokens or more.
 
     Only such words can have that share of all tokens; they are fewer than 2000 for each task and nearly the same in all."""
     schema = pa.schema([("k", pa.int32()), ("packed", pa.binary()), ("hot", pa.list_(pa.int64()))])
 
     def run(batches):
         counts: Counter = Counter()
-        contexts, tokens = np.zeros(CONTEXTS + 2), 0
+        sizes, tokens = np.zeros(2), 0
         for b in batches:
             texts, train = column(b, "_text").to_pylist(), ~np.asarray(column(b, "held_out").to_pandas(), bool)
             for at in range(0, len(texts), BLOCK_DOCS):
                 part = texts[at : at + BLOCK_DOCS]
-                for t in part:
-                    counts.update(words_of(t))
-                words, before, doc = tokens_of(part)
-                own = train[at : at + BLOCK_DOCS][doc]
-                contexts[:CONTEXTS] += np.bincount(before[own].astype(np.int64), minlength=CONTEXTS)
-                contexts[CONTEXTS:] += len(words), own.sum()
+                size = np.zeros(len(part))
+                for k, t in enumerate(part):
+                    words = words_of(t)
+                    counts.update(words)
+                    size[k] = len(words) + 1
+                sizes += size.sum(), size[train[at : at + BLOCK_DOCS]].sum()
                 counts[END] += len(part)
-                tokens += len(words)
+                tokens += int(size.sum())
                 if len(counts) > 500_000:  # what has been rare so far can no longer reach the share of what was read
                     counts = Counter({w: c for w, c in counts.items() if c > tokens / 20_000})
         heavy = [word_hash(w) for w, c in counts.items() if c * 2000 >= tokens]
-        yield table_batch(schema, k=[0], packed=[contexts.tobytes()], hot=[heavy])
+        yield table_batch(schema, k=[0], packed=[sizes.tobytes()], hot=[heavy])
 
-    seen = materialise(rows.mapInArrow(run, "k int, packed binary, hot array<long>"), "contexts")
+    seen = materialise(rows.mapInArrow(run, "k int, packed binary, hot array<long>"), "heavy")
     total = sum_arrays(seen.select("k", "packed"), ["k"]).first()
-    total = np.frombuffer(total["packed"]) if total else np.zeros(CONTEXTS + 2)
+    total = np.frombuffer(total["packed"]) if total else np.zeros(2)
     heavy = seen.select(F.explode("hot").alias("w"), F.lit(1).alias("n")).groupBy("w").agg(F.sum("n").alias("n"))
     hot = [r["w"] for r in heavy.orderBy(F.desc("n"), "w").limit(4000).collect()]
-    return int(total[CONTEXTS]), int(total[CONTEXTS + 1]), total[:CONTEXTS], np.array(sorted(hot), np.uint64)
+    return int(total[0]), int(total[1]), np.array(sorted(hot), np.uint64)
 
 
-PACKED = "bucket int, block long, docs array<long>, held array<boolean>, keys binary, doc binary, n binary"
+PACKED = "bucket int, block long, docs array<long>, held array<boolean>, words binary, names binary, context binary, doc binary, n binary"
 
 
 def packed_tokens(rows: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
-    """Blocks of documents, cut by buckets: the keys in order, the documents that have them, and twice how often, plus 1 for
-    a training document. A row with a negative bucket names a block's documents."""
-    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), *((n, pa.binary()) for n in ("keys", "doc", "n"))])
+    """Blocks of documents, cut by buckets: the pairs' words in order, the contexts' names and each pair's place in them, the
+    documents that have the pairs, and twice how often, plus 1 for a training document. A row with a negative bucket names a
+    block's documents."""
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), *((n, pa.binary()) for n in ("words", "names", "context", "doc", "n"))])
 
     def run(batches):
         block = TaskContext.get().partitionId() << 24
         for b in batches:
             for at in range(0, b.num_rows, BLOCK_DOCS):
                 part = b.slice(at, BLOCK_DOCS)
-                words, before, doc = tokens_of(column(part, "_text").to_pylist())
+                names, words, before, doc = tokens_of(column(part, "_text").to_pylist())
                 train = ~np.asarray(column(part, "held_out").to_pandas(), bool)
-                keys = words << np.uint64(16) | before
+                keys = words << 32 | before
                 order = np.argsort(keys, kind="stable")
                 keys, doc = keys[order], doc[order]
-                first = np.flatnonzero((np.diff(keys, prepend=keys[:1] + np.uint64(1)) != 0) | (np.diff(doc, prepend=-1) != 0))
+                first = np.flatnonzero((np.diff(keys, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
                 n = np.diff(np.append(first, len(keys)))
                 keys, doc = keys[first], doc[first]
                 n = 2 * n + train[doc]
-                word = keys >> np.uint64(16)
-                salt = np.where(np.isin(word, hot), keys & np.uint64(CONTEXTS - 1), np.uint64(0))
+                word, context = names[keys >> 32], keys & 0xFFFFFFFF
+                salt = np.where(np.isin(word, hot), names[context] & np.uint64(0xFFFF), np.uint64(0))
                 to = ((word + salt * np.uint64(40503)) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(to, kind="stable")
                 cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-                rows = [(-1 - block % buckets, block, column(part, "doc_id").to_pylist(), column(part, "held_out").to_pylist(), None, None, None)]
+                rows = [(-1 - block % buckets, block, column(part, "doc_id").to_pylist(), column(part, "held_out").to_pylist(), *[None] * 5)]
                 for k in range(buckets):
                     own = order[cuts[k] : cuts[k + 1]]
                     if len(own):
-                        rows.append((k, block, None, None, squeeze(np.diff(keys[own], prepend=np.uint64(0))), squeeze(doc[own]), squeeze(n[own])))
+                        here, place = np.unique(context[own], return_inverse=True)
+                        rows.append((k, block, None, None, ascending(word[own]), ascending(names[here]), squeeze(place), squeeze(doc[own]), squeeze(n[own])))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                 block += 1
 
     return rows.mapInArrow(run, PACKED)
 
 
-MERGED = "bucket int, keys binary, count binary, blocks array<long>, sizes array<int>, at binary, doc binary, n binary, docs array<long>, held array<boolean>"
+PAIRS = "bucket int, words binary, word binary, names binary, context binary, count binary"
+MERGED = f"{PAIRS}, blocks array<long>, sizes array<int>, at binary, doc binary, n binary, docs array<long>, held array<boolean>"
 
 
 def merged(packed: DataFrame) -> DataFrame:
-    """One row for each bucket, with its distinct keys and their training customers; rows of documents pass through."""
+    """One row for each bucket, with its distinct pairs (places in its words and contexts) and their training customers; rows
+    of documents pass through."""
     columns = [x.split()[0] for x in MERGED.split(", ")]
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["bucket"].iloc[0] < 0:
-            return pdf.assign(blocks=[[x] for x in pdf["block"]]).reindex(columns=columns).astype(object).where(lambda x: x.notna(), None)
-        keys = [np.cumsum(unsqueeze(k), dtype=np.uint64) for k in pdf["keys"]]
-        n = [unsqueeze(x) for x in pdf["n"]]
+            return pdf.assign(blocks=[[x] for x in pdf["block"]]).drop(columns=["words", "names", "context", "doc", "n"]).reindex(columns=columns).astype(object).where(lambda x: x.notna(), None)
+        words, names = [restored(x) for x in pdf["words"]], [restored(x) for x in pdf["names"]]
+        firsts = [np.flatnonzero(np.diff(x, prepend=x[:1] + np.uint64(1))) for x in words]
+        every_word = np.unique(np.concatenate([w[f] for w, f in zip(words, firsts)]))
+        every_name = np.unique(np.concatenate(names))
+        keys = []
+        for w, f, c, own in zip(words, firsts, names, pdf["context"]):
+            word = np.repeat(np.searchsorted(every_word, w[f]), np.diff(np.append(f, len(w))))
+            keys.append(word << 32 | np.searchsorted(every_name, c)[unsqueeze(own).view(np.int64)])
+        n_all = np.concatenate([unsqueeze(x) for x in pdf["n"]])
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
-        n_all = np.concatenate(n)
         count = np.bincount(at, (n_all >> np.uint64(1)) * (n_all & np.uint64(1)), len(every)).astype(np.uint64)
         cuts = np.cumsum([len(k) for k in keys])[:-1]
         moved = np.concatenate([np.diff(x, prepend=0) for x in np.split(at, cuts)])
         return pd.DataFrame({
-            "bucket": pdf["bucket"].iloc[:1], "keys": [squeeze(np.diff(every, prepend=np.uint64(0)))], "count": [squeeze(count)],
-            "blocks": [pdf["block"].tolist()], "sizes": [[len(k) for k in keys]], "at": [squeeze(moved)],
-            "doc": [squeeze(np.concatenate([unsqueeze(d) for d in pdf["doc"]]))], "n": [squeeze(n_all >> np.uint64(1))], "docs": [None], "held": [None],
+            "bucket": pdf["bucket"].iloc[:1], "words": [ascending(every_word)], "word": [ascending(every >> 32)], "names": [ascending(every_name)],
+            "context": [squeeze(every & 0xFFFFFFFF)], "count": [squeeze(count)], "blocks": [pdf["block"].tolist()], "sizes": [[len(k) for k in keys]],
+            "at": [squeeze(moved)], "doc": [squeeze(np.concatenate([unsqueeze(d) for d in pdf["doc"]]))], "n": [squeeze(n_all >> np.uint64(1))], "docs": [None], "held": [None],
         })
 
     return packed.groupBy("bucket").applyInPandas(merge, MERGED)
 
 
-def _bucket(row: dict, hot: np.ndarray) -> Bucket:
-    return Bucket(row["bucket"], np.cumsum(unsqueeze(row["keys"]), dtype=np.uint64), unsqueeze(row["count"]).astype(np.int64), hot)
+PARTS = "part int, bucket int, names binary, sums binary, packed binary"
+PARTS_SCHEMA = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), *((n, pa.binary()) for n in ("names", "sums", "packed"))])
+
+
+def _by_range(bucket: Bucket, values: np.ndarray, parts: int) -> pa.RecordBatch:
+    """The contexts of a bucket with a value each, cut by equal ranges of the hash."""
+    to = (bucket.contexts * np.uint64(parts)) >> np.uint64(WORD_BITS)
+    cuts = np.searchsorted(to, np.arange(parts + 1, dtype=np.uint64)).tolist()
+    rows = [(k, bucket.name, ascending(bucket.contexts[a:b]), squeeze(values[a:b].astype(np.uint64)), None) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), PARTS_SCHEMA)], schema=PARTS_SCHEMA)
+
+
+def exchanged(sent: DataFrame) -> DataFrame:
+    """`(bucket, part, sums)`: for each bucket the totals over all buckets of the contexts it sent, in their order."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = [restored(x) for x in pdf["names"]]
+        every, at = np.unique(np.concatenate(names), return_inverse=True)
+        total = np.bincount(at, np.concatenate([unsqueeze(x) for x in pdf["sums"]]), len(every)).astype(np.uint64)
+        back = np.split(total[at], np.cumsum([len(x) for x in names])[:-1])
+        return pd.DataFrame({"bucket": pdf["bucket"], "part": pdf["part"], "sums": [squeeze(x) for x in back]})
+
+    return materialise(sent.where("part >= 0").groupBy("part").applyInPandas(add, "bucket int, part int, sums binary"), "totals")
+
+
+def with_totals(table: DataFrame, **totals: DataFrame) -> DataFrame:
+    for name, own in totals.items():
+        lists = own.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("part", "sums"))).alias("x"))
+        table = table.join(lists.select("bucket", F.transform("x", lambda x: x["sums"]).alias(name)), "bucket")
+    return table
+
+
+def context_customers(table: DataFrame, parts: int) -> DataFrame:
+    """Training customers of each context, for each bucket that has it."""
+
+    def run(batches):
+        for row in (b.slice(i, 1).to_pylist()[0] for b in batches for i in range(b.num_rows)):
+            bucket = Bucket(row, np.zeros(0, np.uint64))
+            yield _by_range(bucket, bucket.by_context(bucket.count), parts)
+
+    return exchanged(table.select(*PAIR_COLUMNS).mapInArrow(run, PARTS))
+
+
+PAIR_COLUMNS = [x.split()[0] for x in PAIRS.split(", ")]
 
 
-def settle(table: DataFrame, state: dict) -> dict:
-    """One round: every bucket is sampled against the totals of `state`; the sums are the next totals."""
+def settle(table: DataFrame, state: dict, parts: int, **totals: DataFrame) -> tuple[dict, DataFrame | None]:
+    """One round: every bucket is sampled against the totals of `state` and of its contexts; the sums are the next totals."""
 
     def run(batches):
         total = None
         for row in (b.slice(i, 1).to_pylist()[0] for b in batches for i in range(b.num_rows)):
-            own = _totals(_bucket(row, state["hot"]), state)
+            bucket = Bucket(row, state["hot"])
+            tables, own = _totals(bucket, state)
             total = own if total is None else total + own
+            yield _by_range(bucket, tables, parts)
         if total is not None:
-            yield table_batch(pa.schema([("k", pa.int32()), ("packed", pa.binary())]), k=[0], packed=[total.tobytes()])
+            yield table_batch(PARTS_SCHEMA, part=[-1], bucket=[-1], names=[None], sums=[None], packed=[total.tobytes()])
 
-    got = sum_arrays(table.select("bucket", "keys", "count").mapInArrow(run, "k int, packed binary"), ["k"], fan=16).first()
+    sent = materialise(with_totals(table.select(*PAIR_COLUMNS), **totals).mapInArrow(run, PARTS), "round")
+    got = sum_arrays(sent.where("part < 0").select(F.lit(0).alias("k"), "packed"), ["k"], fan=16).first()
     if got is None:
-        return state
+        return state, None
     got = np.frombuffer(got["packed"])
-    x, hot = got[CONTEXTS : CONTEXTS + 8], got[CONTEXTS + 8 :].reshape(2, -1)
+    x, hot = got[:8], got[8:].reshape(2, -1)
     rate = lambda one, two: float(np.clip(one / max(1, one + 2 * two), 0.05, 0.95))
-    return state | {
-        "tables": got[:CONTEXTS], "words": float(x[0] + (hot[0] > 0).sum()), "customers": float(max(1, x[1])), "parent_tables": float(x[2] + (hot[0] > 0).sum()),
+    state = state | {
+        "words": float(x[0] + (hot[0] > 0).sum()), "customers": float(max(1, x[1])), "parent_tables": float(x[2] + (hot[0] > 0).sum()),
         "discounts": (rate(x[5], x[6]), rate(x[3], x[4])), "hot_count": hot[0], "hot_tables": hot[1],
     }
+    return state, exchanged(sent)
 
 
 SUMS = "block long, docs array<long>, held array<boolean>, doc binary, sums array<binary>"
@@ -345,13 +415,13 @@ def scores(table: DataFrame, state: dict) -> DataFrame:
 
     def run(batches):
         for row in (b.slice(i, 1).to_pylist()[0] for b in batches for i in range(b.num_rows)):
-            bucket = _bucket(row, state["hot"])
+            bucket = Bucket(row, state["hot"])
             count = bucket.by_word(bucket.count)
             count[bucket.hot] = state["hot_count"][bucket.hot_at]
             base = -np.log10((count + 1) / (n_train + vocabulary + 1))[bucket.word]
             known = (count > 0)[bucket.word]
-            seen, total = np.zeros(len(bucket.word)), STRENGTH[1] + state["contexts"][bucket.context]
-            new = (STRENGTH[1] + state["discounts"][1] * state["tables"][bucket.context]) / total
+            seen, total = np.zeros(len(bucket.word)), STRENGTH[1] + bucket.customers[bucket.context]
+            new = (STRENGTH[1] + state["discounts"][1] * bucket.tables[bucket.context]) / total
 
             def use(tables, parent):
                 seen[:] += np.maximum(bucket.count - state["discounts"][1] * tables, 0) / total + new * parent
@@ -379,14 +449,19 @@ def pitman_yor(docs: DataFrame, folds: int = 7, held_out: int = 2, id_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("held_out", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)))
     rows = raw_text(rows, "doc_id", "held_out")
-    every, train, contexts, hot = heavy_words(rows)
+    every, train, hot = heavy_words(rows)
     buckets = max(16, math.ceil(every / BUCKET_TOKENS))
     every_bucket = materialise(merged(packed_tokens(rows, buckets, hot)), "buckets")
     table = every_bucket.where("bucket >= 0").drop("docs", "held")
-    state = {"hot": hot, "tokens": train, "contexts": contexts, "tables": contexts * 0.5, "words": max(1.0, train * 0.05), "customers": None,
+    parts = max(16, buckets // 4)
+    customers = context_customers(table, parts)
+    state = {"hot": hot, "tokens": train, "words": max(1.0, train * 0.05), "customers": None,
              "parent_tables": max(1.0, train * 0.05), "discounts": (0.5, 0.7), "hot_count": np.zeros(len(hot)), "hot_tables": np.zeros(len(hot))}
+    totals = {"customers": customers}
     for _ in range(ROUNDS):
-        state = settle(table, state)
+        state, tables = settle(table, state, parts, **totals)
+        if tables is not None:
+            totals["tables"] = tables
     names = every_bucket.where("bucket < 0").select(F.col("blocks")[0].alias("block"), "docs", "held", F.lit(None).cast("binary").alias("doc"), F.lit(None).cast("array<binary>").alias("sums"))
     kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
@@ -401,7 +476,7 @@ def pitman_yor(docs: DataFrame, folds: int = 7, held_out: int = 2, id_col: str =
         docs = pd.array([None if x is None or x != x else int(x) for x in own["docs"]], dtype="Int64")
         return pd.DataFrame({"doc_id": docs, "held_out": list(own["held"]), "n_tokens": total[0].astype(np.int64), "n_known": total[1].astype(np.int64), "base_score": -total[2] / 1e9, "score": -total[3] / 1e6})
 
-    found = names.union(scores(table, state)).groupBy("block").applyInPandas(summed, kinds)
+    found = names.union(scores(with_totals(table, **totals), state)).groupBy("block").applyInPandas(summed, kinds)
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), "base_score", "score", perplexity.alias("perplexity"))
 

@@ -262,6 +262,20 @@ def test_predictions_of_a_context_sum_to_about_one(spark):
     assert all(r["score"] < 0 for r in got) and len(got) == probes.count()
 
 
+def test_words_that_share_hash_bits_are_contexts_of_their_own(spark):
+    same: dict[int, str] = {}
+    for k in range(100_000):
+        a, b = same.setdefault(pitman_yor.word_hash(b"c%d" % k) & 0xFFFF, f"c{k}"), f"c{k}"
+        if a != b:
+            break
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(2000, 4000) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    rows = [(i, f"{a} left" if k % 2 else f"{b} right") for k, i in enumerate(ids)]
+    probes = dict(zip(held, (f"{a} left", f"{a} right", f"{b} right", f"{b} left")))
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.pitman_yor(spark.createDataFrame([*rows, *probes.items()], "doc_id long, text string")).collect()}
+    assert got[held[0]] > got[held[1]] + 1 and got[held[2]] > got[held[3]] + 1
+
+
 # --- WebP ---
 
 
