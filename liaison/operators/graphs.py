@@ -34,18 +34,20 @@ def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def geodesics(edges: DataFrame, sources: DataFrame, rounds: int = 50) -> DataFrame:
-    """`(i, j, d)`: shortest ways from each of `sources(i)`, by min-plus rounds over the new or shortened ways alone."""
+def geodesics(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """`(i, j, d)`: shortest ways from each of `sources(i)`, by min-plus rounds over the new or shortened ways alone, until
+    no way is new or shorter. Edges with a negative `d` are refused, as round a cycle they would have no end."""
     e = materialise(edges.select(F.col("i").alias("m"), F.col("j"), F.col("d").alias("w")), "edges")
+    if not e.where("w < 0").isEmpty():
+        raise ValueError("geodesics: an edge has a negative length")
     best = new = sources.select("i", F.col("i").alias("j"), F.lit(0.0).alias("d"))
-    for _ in range(rounds):
+    while True:
         step = new.select("i", F.col("j").alias("m"), "d").join(e, "m").groupBy("i", "j").agg(F.min(F.col("d") + F.col("w")).alias("d"))
         both = materialise(best.withColumnRenamed("d", "old").join(step.withColumnRenamed("d", "new"), ["i", "j"], "full"), "ways")
         new = both.where("new is not null and (old is null or new < old - 1e-12)").select("i", "j", F.col("new").alias("d"))
         best = both.select("i", "j", F.least(F.coalesce("old", "new"), F.coalesce("new", "old")).alias("d"))
         if new.isEmpty():
-            break
-    return best
+            return best
 
 
 def random_walks(edges: DataFrame, walks: int = 10, length: int = 5, p: float = 1.0, q: float = 1.0, seed: int = 0) -> DataFrame:

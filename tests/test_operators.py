@@ -156,6 +156,12 @@ def test_emd_is_the_best_assignment(n):
     assert np.allclose(plan.sum(0), 1 / n) and np.allclose(plan.sum(1), 1 / n)
 
 
+def test_geodesics_of_over_fifty_edges(spark):
+    path = spark.range(56).select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"), F.lit(1.0).alias("d"))
+    ways = graphs.geodesics(path, spark.createDataFrame([(0,)], "i long"))
+    assert {(r["j"], r["d"]) for r in ways.collect()} == {(k, float(k)) for k in range(57)}
+
+
 def test_sinkhorn_meets_marginals_and_is_no_cheaper_than_emd(spark):
     c = np.random.default_rng(2).random((6, 8))
     cost = spark.createDataFrame([(str(i), str(j), float(c[i, j])) for i in range(6) for j in range(8)], "i string, j string, cost double")
