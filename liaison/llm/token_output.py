@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +13,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import shared_path
-from .common import column, raw_text
+from ..shared import materialise, shared_path
+from .common import column, raw_text, table_batch
 
 #: Ids of a block, about; a longer document has a block of its own.
 BLOCK_IDS = 1 << 18
-#: Words whose ids a worker remembers at a time.
-REMEMBERED = 400_000
+#: Words, and words of letters, whose ids a worker process remembers at a time, from task to task.
+REMEMBERED, REMEMBERED_LETTERS = 500_000, 900_000
 
 BLOCKS = "shard int, block int, first_id long, bits int, doc_ids array<long>, doc_lengths array<long>, packed binary"
 
@@ -99,8 +100,8 @@ class WordIds:
         if not self.ends.any():
             return self._ask(texts)
         split = [t.split() for t in texts]
-        for held in (self.known, self.letters):
-            if len(held) > REMEMBERED:
+        for held, most in ((self.known, REMEMBERED), (self.letters, REMEMBERED_LETTERS)):
+            if len(held) > most:
                 held.clear()
         self.letters[b""] = b""
         self._learn([w for w in set().union(*split) if w not in self.known])
@@ -108,44 +109,65 @@ class WordIds:
         return [b"".join(map(look, words)) for words in split]
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """The vocabulary and the words known so far, kept by a worker process for all its tasks."""
+    return WordIds(path)
+
+
+def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """`(id, hash, n, bits, packed)`, a row for each text: its ids and `end_id` in the width of the vocabulary."""
+    schema = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("bits", pa.int32()), ("packed", pa.binary())])
+    end = np.array([end_id], "<u4").tobytes()
+
+    def run(batches):
+        ids_of = word_ids(tokenizer_path)
+        bits = max(max(ids_of.size - 1, end_id).bit_length(), 1)
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                ids = [x + end for x in ids_of(column(part, "_text").to_pylist())]
+                packed = [pack(np.frombuffer(x, "<u4"), bits) for x in ids]
+                yield table_batch(schema, id=column(part, "id"), hash=column(part, "hash"), n=[len(x) // 4 for x in ids], bits=[bits] * len(ids), packed=packed)
+
+    named = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text"))
+    return raw_text(named, "id", "hash").mapInArrow(run, "id long, hash long, n long, bits int, packed binary")
+
+
 def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of every text, `end_id` after each, to the table of blocks at `path`.
 
-    Documents are dealt by ranges of id and sorted within them, ties by the text's hash; a shard is one range. A block
+    Texts are encoded where they are read, and their packed ids are dealt by ranges of id and sorted within them; ties by
+    the text's hash, and equal rows by place, so the rows of one id can be in several ranges. A shard is one range. A block
     names its first id's place in the shard and its documents' lengths, so any document can be unpacked alone."""
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_id", pa.int64()), ("bits", pa.int32()),
                         ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.list_(pa.int64())), ("packed", pa.binary())])
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        ids_of = WordIds(tokenizer_path)
-        bits = max(max(ids_of.size - 1, end_id).bit_length(), 1)
         shard, block, first = TaskContext.get().partitionId(), 0, 0
         names, parts, held = [], [], 0
 
         def flush():
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            row = [[shard], [block], [first], [bits], [names], [[len(p) // 4 for p in parts]], [pack(ids, bits)]]
+            ids = np.concatenate(parts)
+            row = [[shard], [block], [first], [bits], [names], [[len(p) for p in parts]], [pack(ids, bits)]]
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, schema)], schema=schema)
 
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                texts = column(part, "_text").to_pylist()
-                for name, ids in zip(column(part, "id").to_pylist(), ids_of(texts)):
-                    if held and held + len(ids) // 4 >= BLOCK_IDS:
-                        yield flush()
-                        block, first = block + 1, first + held
-                        names, parts, held = [], [], 0
-                    names.append(name)
-                    parts.append(ids + end)
-                    held += len(ids) // 4 + 1
+            for name, n, bits, packed in zip(*(column(b, x).to_pylist() for x in ("id", "n", "bits", "packed"))):
+                if held and held + n > BLOCK_IDS:
+                    yield flush()
+                    block, first = block + 1, first + held
+                    names, parts, held = [], [], 0
+                names.append(name)
+                parts.append(unpack(packed, bits, n))
+                held += n
         if held:
             yield flush()
 
-    rows = raw_text(docs.withColumn("id", F.col(id_col).cast("long")), "id", text_col=text_col)
-    dealt = rows.repartitionByRange("id").sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("_text"))
-    dealt.mapInArrow(run, BLOCKS).write.parquet(path)
+    rows = encoded(docs, tokenizer_path, end_id, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    order = (F.col("id").asc_nulls_first(), F.col("hash").asc(), F.col("row").asc())
+    dealt = materialise(rows, "ids").repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.select("id", "n", "bits", "packed").mapInArrow(run, BLOCKS).write.parquet(path)
 
 
 def read_token_blocks(spark, path: str) -> DataFrame:
@@ -175,7 +197,8 @@ def token_output(docs: DataFrame, tokenizer_path: str | None = None, end_id: int
     """Write the ids of `docs` in the shared folder and read them back, one row for each row of `docs`.
 
     Null and empty texts have the end id alone; a null id comes first; repeated ids keep all their rows, in the order of
-    the texts' hashes; an empty table gives no rows. The packed width follows the vocabulary's size."""
+    the texts' hashes; an empty table gives no rows. A text longer than a block has a block of its own. Other columns,
+    whatever their names, are not read. The packed width follows the vocabulary's size."""
     spark = docs.sparkSession
     path = shared_path(spark, "tokens")
     write_token_blocks(docs, path, tokenizer_path or vocabulary_path(), end_id, **columns)
@@ -187,4 +210,6 @@ def op10_token_ids(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's ids are written and read back; the result has a row for each row of `docs`, with the edge cases of
+    token_output(). Other columns, whatever their names, are not read."""
     return token_output(docs)
