@@ -13,13 +13,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import materialise, shared_path
-from .common import column, raw_text, table_batch
+from ..shared import shared_path
+from .common import column, raw_text
 
 #: Ids of a block, about; a longer document has a block of its own.
 BLOCK_IDS = 1 << 18
-#: Words, and words of letters, whose ids a worker process remembers at a time, from task to task.
-REMEMBERED, REMEMBERED_LETTERS = 500_000, 900_000
+#: Words whose ids a worker process remembers from task to task: so many last used ones, and as many from before.
+REMEMBERED = 500_000
 
 BLOCKS = "shard int, block int, first_id long, bits int, doc_ids array<long>, doc_lengths array<long>, packed binary"
 
@@ -58,7 +58,7 @@ class WordIds:
     one word of the vocabulary's own split, so many can be asked for at once and told apart by their ends. For other
     vocabularies whole texts are encoded."""
 
-    LETTERS = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+    LETTERS = re.compile(rb"^(?:((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)|.*)$", re.M)
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,42 +70,46 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
-        self.letters: dict[bytes, bytes] = {b"": b""}
+        self.before: dict[bytes, bytes] = {}
 
     def _ask(self, words: list[bytes]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in got]
 
-    def _ask_letters(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 200):
-            part = words[at : at + 200]
+    def _ask_letters(self, words: list[bytes]) -> dict[bytes, bytes]:
+        out = {b"": b""}
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
             ids = np.frombuffer(self._ask([b" ".join(part)])[0], "<u4")
             ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             raw = ids.tobytes()
             if len(ends) == len(part):
-                self.letters.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends))))
+                out.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends))))
             else:
-                self.letters.update(zip(part, self._ask(part)))
+                out.update(zip(part, self._ask(part)))
+        return out
 
     def _learn(self, words: list[bytes]) -> None:
-        split = [(w, self.LETTERS.fullmatch(w.lower())) for w in words]
-        whole = [w for w, m in split if not m]
+        split = self.LETTERS.findall(b"\n".join(words).lower())
+        whole = [w for w, (own, _) in zip(words, split) if not own]
         self.known.update(zip(whole, self._ask(whole)))
-        self._ask_letters([w for w in {m[1] for _, m in split if m} if w not in self.letters])
-        tails = [w for w in {m[2] for _, m in split if m} if w not in self.letters]
-        self.letters.update(zip(tails, self._ask(tails)))
-        self.known.update((w, self.letters[m[1]] + self.letters[m[2]]) for w, m in split if m)
+        ids = self._ask_letters(list({own for own, _ in split if own}))
+        tails = list({tail for _, tail in split if tail})
+        tail_ids = {b"": b""} | dict(zip(tails, self._ask(tails)))
+        self.known.update((w, ids[own] + tail_ids[tail]) for w, (own, tail) in zip(words, split) if own)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if not self.ends.any():
             return self._ask(texts)
         split = [t.split() for t in texts]
-        for held, most in ((self.known, REMEMBERED), (self.letters, REMEMBERED_LETTERS)):
-            if len(held) > most:
-                held.clear()
-        self.letters[b""] = b""
-        self._learn([w for w in set().union(*split) if w not in self.known])
-        look = self.known.__getitem__
+        if len(self.known) > REMEMBERED:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        new = [w for w in set().union(*split) if w not in known]
+        known.update((w, before[w]) for w in new if w in before)
+        if new := [w for w in new if w not in known]:
+            self._learn(new)
+        look = known.__getitem__
         return [b"".join(map(look, words)) for words in split]
 
 
@@ -115,59 +119,46 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """`(id, hash, n, bits, packed)`, a row for each text: its ids and `end_id` in the width of the vocabulary."""
-    schema = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("bits", pa.int32()), ("packed", pa.binary())])
-    end = np.array([end_id], "<u4").tobytes()
-
-    def run(batches):
-        ids_of = word_ids(tokenizer_path)
-        bits = max(max(ids_of.size - 1, end_id).bit_length(), 1)
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                ids = [x + end for x in ids_of(column(part, "_text").to_pylist())]
-                packed = [pack(np.frombuffer(x, "<u4"), bits) for x in ids]
-                yield table_batch(schema, id=column(part, "id"), hash=column(part, "hash"), n=[len(x) // 4 for x in ids], bits=[bits] * len(ids), packed=packed)
-
-    named = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text"))
-    return raw_text(named, "id", "hash").mapInArrow(run, "id long, hash long, n long, bits int, packed binary")
-
-
 def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of every text, `end_id` after each, to the table of blocks at `path`.
 
-    Texts are encoded where they are read, and their packed ids are dealt by ranges of id and sorted within them; ties by
-    the text's hash, and equal rows by place, so the rows of one id can be in several ranges. A shard is one range. A block
-    names its first id's place in the shard and its documents' lengths, so any document can be unpacked alone."""
+    Texts are dealt by ranges of id and sorted within them; ties by the text's hash, and equal rows by place, so the rows of
+    one id can be in several ranges. A shard is one range. A block names its first id's place in the shard and its
+    documents' lengths, so any document can be unpacked alone."""
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_id", pa.int64()), ("bits", pa.int32()),
                         ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.list_(pa.int64())), ("packed", pa.binary())])
+    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
+        ids_of = word_ids(tokenizer_path)
+        bits = max(max(ids_of.size - 1, end_id).bit_length(), 1)
         shard, block, first = TaskContext.get().partitionId(), 0, 0
         names, parts, held = [], [], 0
 
         def flush():
-            ids = np.concatenate(parts)
-            row = [[shard], [block], [first], [bits], [names], [[len(p) for p in parts]], [pack(ids, bits)]]
+            ids = np.frombuffer(b"".join(parts), "<u4")
+            row = [[shard], [block], [first], [bits], [names], [[len(p) // 4 for p in parts]], [pack(ids, bits)]]
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, schema)], schema=schema)
 
         for b in batches:
-            for name, n, bits, packed in zip(*(column(b, x).to_pylist() for x in ("id", "n", "bits", "packed"))):
-                if held and held + n > BLOCK_IDS:
-                    yield flush()
-                    block, first = block + 1, first + held
-                    names, parts, held = [], [], 0
-                names.append(name)
-                parts.append(unpack(packed, bits, n))
-                held += n
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                for name, ids in zip(column(part, "id").to_pylist(), ids_of(column(part, "_text").to_pylist())):
+                    if held and held + len(ids) // 4 >= BLOCK_IDS:
+                        yield flush()
+                        block, first = block + 1, first + held
+                        names, parts, held = [], [], 0
+                    names.append(name)
+                    parts.append(ids + end)
+                    held += len(ids) // 4 + 1
         if held:
             yield flush()
 
-    rows = encoded(docs, tokenizer_path, end_id, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    named = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text"))
+    rows = raw_text(named, "id", "hash").withColumn("row", F.monotonically_increasing_id())
     order = (F.col("id").asc_nulls_first(), F.col("hash").asc(), F.col("row").asc())
-    dealt = materialise(rows, "ids").repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt.select("id", "n", "bits", "packed").mapInArrow(run, BLOCKS).write.parquet(path)
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.select("id", "_text").mapInArrow(run, BLOCKS).write.parquet(path)
 
 
 def read_token_blocks(spark, path: str) -> DataFrame:
