@@ -234,40 +234,142 @@ def test_pitman_yor_base_and_folds(docs, odd, empty):
     assert len(pitman_yor.pitman_yor(odd).collect()) == 9 and pitman_yor.pitman_yor(empty).count() == 0
 
 
-def test_seatings_keep_their_customers_and_match_the_exact_law():
-    rng = np.random.default_rng(0)
-    count = np.array([1, 2, 5, 40, 1000] * 40)
-    s = pitman_yor.Seating(count, np.full(200, 2.0), 0.5, rng)
-    for _ in range(5):
-        t = s.sweep(np.full(200, 2.0))
-        sizes = np.arange(pitman_yor.SMALL)
-        assert ((s.m[:, : pitman_yor.SMALL] * sizes).sum(1) + s.large == s.c).all() and (s.m >= 0).all() and (s.large >= s.m[:, 0]).all()
-        assert (t >= 1).all() and (t <= count).all()
-    # two customers: apart with odds opening : 1 - d
-    two = pitman_yor.Seating(np.full(4000, 2), np.full(4000, 2.0), 0.5, rng)
+def seat_one_by_one(pairs: dict, sweeps: int, d: float, d0: float, rng) -> tuple[float, float, dict]:
+    """The model by moves of single customers, table by table: mean tables of contexts and of the parent, and mean shares of
+    the words in the parent. `pairs` has the customers of each (context, word)."""
+    words = sorted({w for _, w in pairs})
+    tables = {k: [] for k in pairs}  # customers of each table; each has a table of the parent
+    above = {w: [] for w in words}
+    draw = lambda weights: min(int(np.searchsorted(np.cumsum(weights), rng.random() * sum(weights))), len(weights) - 1)
+
+    def share(w):
+        n, t = sum(sum(x) for x in above.values()), sum(map(len, above.values()))
+        return (sum(above[w]) - d0 * len(above[w]) + (1 + d0 * t) / (len(words) + 1)) / (1 + n)
+
+    def add(u, w):
+        opened = sum(len(x) for (c, _), x in tables.items() if c == u)
+        own = tables[u, w]
+        at = draw([*(n - d for n in own), (1 + d * opened) * share(w)])
+        if at < len(own):
+            own[at] += 1
+            return
+        own.append(1)
+        t = sum(map(len, above.values()))
+        up = draw([*(n - d0 for n in above[w]), (1 + d0 * t) / (len(words) + 1)])
+        if up < len(above[w]):
+            above[w][up] += 1
+        else:
+            above[w].append(1)
+
+    def leave(u, w):
+        own = tables[u, w]
+        at = draw(own)
+        own[at] -= 1
+        if not own[at]:
+            own.pop(at)
+            up = draw(above[w])
+            above[w][up] -= 1
+            if not above[w][up]:
+                above[w].pop(up)
+
+    for (u, w), n in pairs.items():
+        for _ in range(n):
+            add(u, w)
+    seen, parent, shares = [], [], collections.Counter()
+    for k in range(sweeps):
+        for (u, w), n in pairs.items():
+            for _ in range(n):
+                leave(u, w)
+                add(u, w)
+        if k >= sweeps // 4:
+            seen.append(sum(map(len, tables.values())))
+            parent.append(sum(map(len, above.values())))
+            shares.update({w: share(w) for w in words})
+    return np.mean(seen), np.mean(parent), {w: shares[w] / len(seen) for w in words}
+
+
+def test_blocked_draws_match_single_moves():
+    rng, d, d0 = np.random.default_rng(3), 0.6, 0.4
+    pairs = {(u, w): int(rng.integers(1, 9)) for u in range(6) for w in range(8) if rng.random() < 0.5}
+    tables, parent, shares = seat_one_by_one(pairs, 1000, d, d0, rng)
+    context, word = (np.array(x) for x in zip(*pairs))
+    count = np.array(list(pairs.values()))
+    now, seats, words = np.minimum(count, 1), np.ones(8, np.int64), len(set(word.tolist()))
+    got = np.zeros(2)
+    mean = np.zeros(8)
+    for k in range(2500):
+        customers = np.bincount(word, now, 8)
+        law = pitman_yor.Law(words, customers.sum(), seats.sum(), d, d0)
+        now = law.context_tables(pitman_yor.Seating(d, rng), count, now, np.bincount(context, now, 6)[context], customers[word], seats[word])
+        customers = np.bincount(word, now, 8).astype(np.int64)
+        law = pitman_yor.Law(words, customers.sum(), np.minimum(seats, customers).sum(), d, d0)
+        seats = law.parent_seats(pitman_yor.Seating(d0, rng), customers, np.minimum(seats, customers))
+        if k >= 500:
+            got += now.sum(), seats.sum()
+            mean += pitman_yor.Law(words, customers.sum(), seats.sum(), d, d0).share(customers, seats)
+    assert np.allclose(got / 2000, (tables, parent), rtol=0.06), (got / 2000, tables, parent)
+    assert all(abs(mean[w] / 2000 - x) < 0.02 for w, x in shares.items())
+
+
+@pytest.mark.parametrize("others, first", [(1.0, 2.0), (300.0, 40.0), (5000.0, 900.0), (2.0, 0.01)])
+def test_proposals_match_the_exact_law(others, first):
+    """Above SMALL customers tables are proposed and accepted; the exact law of 400 customers is known from the same rule."""
+    rng, c, total = np.random.default_rng(1), 400, 1000.0
+    n = 3000
+    args = np.full(n, c), np.ones(n, np.int64), np.full(n, others), np.full(n, first), total, 1
+    seating, now = pitman_yor.Seating(0.6, rng, fresh=True), args[1]
     for _ in range(3):
-        t = two.sweep(np.full(4000, 2.0))
-    assert abs((t == 2).mean() - 2.0 / 2.5) < 0.03
+        now = seating.draw(args[0], now, *args[2:])
+        seating.fresh = False
+    ways = np.zeros(1)  # logarithms
+    for k in range(1, c):
+        more = np.append(ways + np.log(k - 0.6 * np.arange(1, k + 1)), -np.inf)
+        ways = np.logaddexp(more, np.append(-np.inf, ways))
+    logs = ways + np.cumsum(np.log((others + 0.6 * np.arange(c)) * (first + np.arange(c)) / (total + np.arange(c))))
+    law = np.exp(logs - logs.max())
+    mean = (law * np.arange(1, c + 1)).sum() / law.sum()
+    assert (now >= 1).all() and (now <= c).all() and abs(now.mean() - mean) < 0.05 * mean
+
+
+def test_tables_of_two_customers():
+    two = pitman_yor.Seating(0.5, np.random.default_rng(0)).draw(np.full(4000, 2), np.ones(4000), np.full(4000, 2.0), np.full(4000, 1.0), 1.0, 0)
+    assert abs((two == 2).mean() - 2.5 / 3.0) < 0.03  # together 1 - d, apart others + d, each with one opening before
 
 
-def test_predictions_of_a_context_sum_to_about_one(spark):
+def test_rows_that_are_only_scored_change_no_score(spark):
     rng = random.Random(0)
     words = [f"w{k}" for k in range(40)]
-    rows = [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(40)], k=200))) for i in range(60)]
-    base = spark.createDataFrame(rows, "doc_id long, text string")
-    probes = spark.createDataFrame([(10_000 + k, w) for k, w in enumerate(words)], "doc_id long, text string")
-    probes = probes.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
-    train = base.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
-    got = pitman_yor.pitman_yor(train.union(probes)).where("doc_id >= 10000").collect()
-    assert all(r["score"] < 0 for r in got) and len(got) == probes.count()
-
-
-def test_words_that_share_hash_bits_are_contexts_of_their_own(spark):
-    same: dict[int, str] = {}
-    for k in range(100_000):
-        a, b = same.setdefault(pitman_yor.word_hash(b"c%d" % k) & 0xFFFF, f"c{k}"), f"c{k}"
-        if a != b:
-            break
+    ids = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 7 != 2][:60]
+    held = [i for i in range(3000, 9000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(40)], k=200))) for i in ids]
+    some = list(zip(held, [f"w0 {w}" for w in words]))
+    more = list(zip(held[100:], [f"{w} unknown{w}" for w in words]))
+    got, every = ({r["doc_id"]: r["score"] for r in pitman_yor.pitman_yor(spark.createDataFrame(rows + x, "doc_id long, text string")).collect()} for x in (some, some + more))
+    assert all(abs(every[i] - got[i]) < 1e-4 for i in got)
+
+
+def test_a_context_s_law_sums_to_one():
+    rng = np.random.default_rng(5)
+    count, word, context = rng.integers(1, 30, 200), np.arange(200) % 50, np.arange(200) % 7
+    tables = np.minimum(count, rng.integers(1, 4, 200))
+    customers = np.bincount(word, tables, 50).astype(np.int64)
+    seats = np.minimum(customers, rng.integers(1, 3, 50))
+    law = pitman_yor.Law(50, customers.sum(), seats.sum(), 0.7, 0.5)
+    share = np.append(law.share(customers, seats), law.base / law.total)
+    assert abs(share.sum() - 1) < 1e-12
+    total = 1 + np.bincount(context, count, 7)
+    seen = np.bincount(context, count - 0.7 * tables, 7) + (1 + 0.7 * np.bincount(context, tables, 7)) * share.sum()
+    assert np.allclose(seen / total, 1)
+
+
+def test_scores_do_not_depend_on_the_split_into_files(spark, docs):
+    own = docs.where("doc_id < 60")
+    one, many = ({r["doc_id"]: r["score"] for r in pitman_yor.pitman_yor(own.repartition(n)).collect()} for n in (1, 23))
+    assert one == pytest.approx(many, abs=2e-5)
+
+
+def test_words_are_contexts_of_their_own(spark):
+    a, b = "c1", "c2"
     ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 != 2]
     held = [i for i in range(2000, 4000) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
     rows = [(i, f"{a} left" if k % 2 else f"{b} right") for k, i in enumerate(ids)]
