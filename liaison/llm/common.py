@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import materialise
+
 
 def words_of(text: bytes) -> list[bytes]:
     """A-Z lower-cased, then the runs without ASCII white space (`[^\\x20\\x09-\\x0D]+`); bytes.split knows exactly those."""
@@ -35,20 +37,42 @@ def table_batch(schema: pa.Schema, **cols) -> pa.RecordBatch:
 
 
 def sum_arrays(df: DataFrame, keys: list[str], fan: int = 64) -> DataFrame:
-    """Element-wise sums of the float64 arrays packed in column `packed` by `keys`, in two levels.
+    """Element-wise sums of the float64 arrays packed in column `packed` by `keys`, in three levels.
 
-    The rows of a key are first dealt to `fan` groups, so no task gets more than a `fan`-th of them."""
+    A group of the first two levels has the arrays of `fan` partitions, or of `fan` groups, so with a few arrays from each
+    partition no group is large before there are `fan` ** 3 partitions."""
     kinds = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.frombuffer(pdf["packed"].iloc[0]).copy()
         for x in pdf["packed"].iloc[1:]:
             total += np.frombuffer(x)
-        return pdf[keys].iloc[:1].assign(packed=[total.tobytes()])
+        own = [n for n in pdf.columns if n != "packed"]
+        return pdf[own].iloc[:1].assign(packed=[total.tobytes()])
+
+    df = df.select(*keys, F.floor(F.spark_partition_id() / fan).cast("int").alias("_group"), "packed")
+    df = df.groupBy(*keys, "_group").applyInPandas(add, f"{kinds}, _group int, packed binary")
+    df = df.withColumn("_group", F.floor(F.col("_group") / fan).cast("int"))
+    df = df.groupBy(*keys, "_group").applyInPandas(add, f"{kinds}, _group int, packed binary").drop("_group")
+    return df.groupBy(*keys).applyInPandas(add, f"{kinds}, packed binary")
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """`rows` joined with `table`, which has one row for each key. Keys on over a `share`-th of the rows, fewer than `share`
+    of them, are looked up in a broadcast, so no task gets all rows of a hot key; the others are shuffled."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    total = F.broadcast(rows.agg(F.count("*").alias("_total")))
+    hot = F.broadcast(materialise(counts.crossJoin(total).where(F.col("_n") * share > F.col("_total")).select(key), "hot_keys"))
+    often = rows.join(F.broadcast(table.join(hot, key, "left_semi")), key)
+    return often.unionByName(rows.join(hot, key, "left_anti").join(table, key))
+
 
-    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(fan)))
-    once = salted.groupBy(*keys, "_salt").applyInPandas(add, f"{kinds}, packed binary")
-    return once.groupBy(*keys).applyInPandas(add, f"{kinds}, packed binary")
+def free_name(docs: DataFrame, name: str) -> str:
+    """`name`, with as many underscores before it as no column of `docs` has, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def with_columns(docs: DataFrame, fields: list[tuple[str, str]], start, text_col: str = "text") -> DataFrame:
@@ -64,4 +88,4 @@ def with_columns(docs: DataFrame, fields: list[tuple[str, str]], start, text_col
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made(texts)], [*b.schema.names[:-1], *(n for n, _ in fields)])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    return docs.select("*", text.alias("__text_bytes")).mapInArrow(run, kinds)
+    return docs.select("*", text.alias(free_name(docs, "_bytes"))).mapInArrow(run, kinds)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..shared import materialise
-from .common import column, raw_text, table_batch, words_of
+from .common import column, looked_up, raw_text, table_batch, words_of
 
 RADIUS = 2
 #: A block of more members than this is divided by further bits.
@@ -44,7 +44,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(t, width) for t in column(b, "_text").to_pylist()), np.uint64, b.num_rows)
             yield table_batch(schema, id=column(b, "id"), fp=pa.array(fps.view(np.int64)))
 
-    return raw_text(docs.withColumn("id", F.col(id_col).cast("long")), "id", text_col=text_col).mapInArrow(run, "id long, fp long")
+    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return raw_text(named, "id").mapInArrow(run, "id long, fp long")
 
 
 class Planes:
@@ -162,16 +163,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """`(doc_id, fp, component_id)` for every row: the smallest id that can be reached over links of RADIUS bits or fewer.
 
     Null text counts as empty (fingerprint zero). Rows without an id get a row too; an id that is null is never the
-    smallest. Repeated rows are kept. Copies share a fingerprint and are compared once; an empty table gives no rows.
+    smallest. Repeated rows are kept. Copies share a fingerprint and are compared once; an empty table gives no rows. Long
+    texts are hashed a part of their words at a time; other columns, whatever their names, are not read.
     """
     fps = materialise(fingerprints(docs, id_col, text_col, width), "fingerprints")
     distinct = materialise(fps.groupBy("fp").agg(F.min("id").alias("low")), "classes")
     roots = connected_components(links(distinct), "a", "b")
-    tree = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp")
-    lows = tree.groupBy("root").agg(F.min("low").alias("component"))
-    moved = tree.join(lows, "root").select("fp", "component")
-    classes = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component", "low").alias("component_id"))
-    return fps.join(classes, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
+    tree = materialise(distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp"), "tree")
+    moved = looked_up(tree, tree.groupBy("root").agg(F.min("low").alias("component")), "root").select("fp", "component")
+    classes = materialise(distinct.join(moved, "fp", "left").select("fp", F.coalesce("component", "low").alias("component_id")), "classes")
+    return looked_up(fps, classes, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
