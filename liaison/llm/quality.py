@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import materialise
-from .common import column, fold, raw_text, sum_arrays, table_batch, with_columns
+from .common import column, fold, free_name, raw_text, sum_arrays, table_batch, with_columns
 
 #: Random features, kernel width in standard deviations for each statistic, ridge penalty for each row, calibration bins.
 FEATURES, WIDTH, RIDGE, BINS, SEED = 256, 5.0, 1e-3, 4096, 7
@@ -173,7 +173,15 @@ def op1_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that are predicted 0 go. The fit takes the statistics of all rows; the filter is a map over the texts."""
-    model = learn(materialise(statistics_of(docs), "statistics"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Rows that are predicted 0 go. The statistics of the labelled rows alone are taken for the fit; the filter is a map over
+    all texts.
+
+    Edge cases are those of quality(): null and empty texts are scored like any other, repeated rows are kept or go together,
+    rows without an id are scored, an empty table stays empty. All columns are kept, whatever their names."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    named = labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(named, "doc_id", "left_semi")
+    model = learn(materialise(statistics_of(rows), "statistics"), labels)
     made = lambda texts: [pa.array(model.score(np.array([statistics(t) for t in texts], np.float32).reshape(-1, STATISTICS).astype(float)))]
-    return with_columns(docs, [("__score", "double")], lambda: made).where(F.col("__score") >= THRESHOLD).drop("__score")
+    score = free_name(docs, "score")
+    return with_columns(docs, [(score, "double")], lambda: made).where(F.col(score) >= THRESHOLD).drop(score)
