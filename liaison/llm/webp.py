@@ -742,21 +742,39 @@ def encode(argb: np.ndarray, palette: bool = False, predictor: int | None = None
     return b"RIFF" + (12 + len(padded)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + padded
 
 
-#: A payload is a multiple of UNIT bytes: one row of grey pixels.
-UNIT = 64
+#: A payload is a multiple of UNIT bytes: one row of grey pixels. An image has IMAGE_ROWS at most.
+UNIT, IMAGE_ROWS = 64, 4096
+
+
+def entropy(values: np.ndarray) -> float:
+    p = np.bincount(values, minlength=256) / max(1, len(values))
+    return -float((p[p > 0] * np.log2(p[p > 0])).sum())
 
 
 def store(payload: bytes) -> bytes:
-    """The payload as a grey image, UNIT pixels wide (a multiple of it for over 1 MB), rows filled up with zeros."""
-    wide = UNIT * -(-len(payload) // (UNIT * MAX_SIDE))
-    grey = np.frombuffer(payload + bytes(-len(payload) % wide), np.uint8).astype(np.uint32)
-    few = np.count_nonzero(np.bincount(grey)) <= 16
-    return encode((grey * np.uint32(0x010101) + np.uint32(0xFF000000)).reshape(-1, wide), palette=few, subtract_green=not few, repeats=True)
+    """The payload as grey images, UNIT pixels wide and of IMAGE_ROWS rows at most, one file after the other, so that writing
+    and reading take the memory of one image whatever the payload's length.
+
+    Up to 16 values are indexed by a palette. Others take the pixel to the left as prediction where that saves half a bit a
+    pixel or more, and are reduced to their green channel in any case."""
+    out = []
+    for at in range(0, max(len(payload), 1), UNIT * IMAGE_ROWS):
+        grey = np.frombuffer(payload[at : at + UNIT * IMAGE_ROWS], np.uint8)
+        few = np.count_nonzero(np.bincount(grey)) <= 16
+        left = 1 if not few and entropy(np.diff(grey, prepend=grey[:1])) + 0.5 < entropy(grey) else None
+        argb = grey.astype(np.uint32) * np.uint32(0x010101) + np.uint32(0xFF000000)
+        out.append(encode(argb.reshape(-1, UNIT), palette=few, predictor=left, subtract_green=not few, repeats=True))
+    return b"".join(out)
 
 
 def load(media: bytes) -> bytes:
-    """The samples of a grey image, row after row."""
-    return (decode(media) & 0xFF).astype(np.uint8).tobytes()
+    """The samples of grey images that follow each other, row after row."""
+    out, at = [], 0
+    while at < len(media):
+        size = 8 + int.from_bytes(media[at + 4 : at + 8], "little")
+        out.append((decode(media[at : at + size]) & 0xFF).astype(np.uint8).tobytes())
+        at += size
+    return b"".join(out)
 
 
 def feature(samples: bytes) -> str:
@@ -774,7 +792,8 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """`(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media, media_bytes, media_sha256, feature)` for every row.
 
     The payload is the text's UTF-8 with zero bytes up to a positive multiple of UNIT; it is stored as a lossless WebP image,
-    and all but `n_bytes` and `media` is of the bytes read back from it. Null text counts as empty. Ids may be null or stand
+    or several for one of over UNIT * IMAGE_ROWS bytes, and all but `n_bytes` and `media` is of the bytes read back from it.
+    Other columns, whatever their names, are not read. Null text counts as empty. Ids may be null or stand
     on several rows. Equal texts have equal values; an empty table gives no rows."""
     fields = (("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media", pa.binary()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()))
     schema = pa.schema([("doc_id", pa.int64()), *fields])
@@ -782,7 +801,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def columns_of(text: bytes) -> tuple:
         payload = text + bytes(-len(text) % UNIT or (0 if text else UNIT))
         media = store(payload)
-        back = load(media)[: len(payload)]
+        back = load(media)
         sha = hashlib.sha256
         return len(text), len(back), sha(back).hexdigest(), zlib.crc32(back[-UNIT:]), media, len(media), sha(media).hexdigest(), feature(back)
 
