@@ -1,8 +1,13 @@
-"""Benchmark decontamination: every passage of the corpus is a BM25 query on an index of the test items, pruned by block maxima."""
+"""Benchmark decontamination: every passage of the corpus is a BM25 query on an inverted index of the test items.
+
+Passages are first bounded in bulk: by the largest impacts of their terms, then by those in each block of items. Where no
+block can reach the threshold the search has no pivot that it would score, so it ends there, as it does for nearly all
+passages. The others walk their terms' postings by block-max WAND."""
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -10,15 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, raw_text, with_columns, words_of
+from .common import column, free_name, raw_text, with_columns, words_of
 
 #: A passage is WINDOW words, one every half window; an item is retrieved at THRESHOLD of its own score and confirmed when
 #: both its question and its answer have OVERLAP of their word pairs in the passage. An item of over half a window is held
 #: against stretches as long as itself and a half window on either side, one every half window, with the same shares.
 WINDOW, THRESHOLD, OVERLAP = 128, 0.6, 0.6
 K1, B = 1.2, 0.75
-#: Items of an index and of a block, bytes of an index's items. A larger benchmark is taken in several indexes.
-INDEX_ITEMS, INDEX_BYTES, BLOCK = 1024, 4 << 20, 32
+#: Items of an index and of a block, bytes of an index's items. A larger benchmark is taken in several indexes, so many of them
+#: in one pass over the corpus.
+INDEX_ITEMS, INDEX_BYTES, BLOCK, AT_ONCE = 1024, 4 << 20, 32, 8
 SIGNS = b".,;:!?\"'()[]"
 
 
@@ -37,7 +43,7 @@ def parts_of(text: bytes) -> tuple[set, set]:
 
 
 class Index:
-    """Inverted index of items with the largest impact of each term in all, in each block and in each item.
+    """Inverted index: each term's items and impacts in order, and its largest impact in all items and in each block of them.
 
     Impacts are divided by the item's threshold, so an item is retrieved when its impacts add up to 1."""
 
@@ -67,6 +73,12 @@ class Index:
             self.blocks.append((row, impact))
             self.block_max[here, b] = impact[1:].max(axis=1)
         self.term_max = self.block_max.max(axis=1) if blocks else np.zeros(0, np.float32)
+        self.postings: list[tuple[list[int], list[float]]] = [([], []) for _ in self.ids]
+        for k, (_, t) in enumerate(self.items):
+            row, impact = self.blocks[k // BLOCK]
+            for i in sorted({self.ids[w] for w in terms_of(t)}):
+                self.postings[i][0].append(k)
+                self.postings[i][1].append(float(impact[row[i], k % BLOCK]))
 
     def _share(self, k: int) -> float:
         """The part of an item's score that one window at least has when a stretch has it all: so many windows cover one."""
@@ -95,20 +107,56 @@ class Index:
         window, term = self._pruned(window, term, self.term_max[term][:, None])[:2]
         if not len(window):
             return []
-        window, term, hit = self._pruned(window, term, self.block_max[term])
-        names, out = np.unique(window), []
-        for b in np.flatnonzero(hit.any(axis=0)).tolist():
-            row, impact = self.blocks[b]
-            chosen = np.isin(window, names[hit[:, b]])
-            w, t = window[chosen], term[chosen]
-            first = np.flatnonzero(np.diff(w, prepend=-1))
-            score = np.add.reduceat(impact[row[t]], first, axis=0)
-            for x, k in zip(*np.nonzero(score >= 1)):
-                name = int(w[first[x]])
-                d = int(np.searchsorted(starts, name, "right")) - 1
-                out.append((d, name - starts[d], b * BLOCK + int(k), float(score[x, k]) * THRESHOLD))
+        window, term, _ = self._pruned(window, term, self.block_max[term])
+        first, out = np.flatnonzero(np.diff(window, prepend=-1)), []
+        for name, own in zip(window[first].tolist(), np.split(term, first[1:])):
+            d = int(np.searchsorted(starts, name, "right")) - 1
+            out += [(d, name - starts[d], k, score * THRESHOLD) for k, score in self.reached(own.tolist())]
         return out
 
+    def reached(self, terms: list[int]) -> list[tuple[int, float]]:
+        """Items whose impacts of the distinct `terms` add up to 1, by block-max WAND.
+
+        A cursor stands at an item of each term. The pivot is the first item, in their order, at which the largest impacts of
+        the terms so far could reach 1; no item before it can. If the block of the pivot cannot either, the cursors skip to
+        its end or to the next cursor's item."""
+        cursors = [[own[0][0], 0, i] for i in terms if (own := self.postings[i])[0]]  # item, place, term
+        out = []
+
+        def to(cursor: list, item: int) -> None:
+            items = self.postings[cursor[2]][0]
+            cursor[1] = bisect_left(items, item, cursor[1])
+            cursor[0] = items[cursor[1]] if cursor[1] < len(items) else len(self.items)
+
+        while True:
+            cursors.sort()
+            bound, pivot = 0.0, -1
+            for k, (item, _, i) in enumerate(cursors):
+                if item == len(self.items):
+                    break
+                bound += self.term_max[i]
+                if bound >= 1 - 1e-4:
+                    pivot = k
+                    break
+            if pivot < 0:
+                return out
+            item = cursors[pivot][0]
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
+                pivot += 1
+            block, rest = item // BLOCK, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else len(self.items)
+            if sum(self.block_max[i, block] for *_, i in cursors[: pivot + 1]) < 1 - 1e-4:
+                for cursor in cursors[: pivot + 1]:
+                    to(cursor, min(rest, (block + 1) * BLOCK))
+            elif cursors[0][0] < item:
+                for cursor in cursors[:pivot]:
+                    to(cursor, item)
+            else:
+                score = sum(self.postings[i][1][at] for _, at, i in cursors[: pivot + 1])
+                if score >= 1 - 1e-6:
+                    out.append((item, score))
+                for cursor in cursors[: pivot + 1]:
+                    to(cursor, item + 1)
+
     @staticmethod
     def _pruned(window, term, bounds):
         """Windows whose summed bounds reach 1 in any column, with the columns that do."""
@@ -178,12 +226,12 @@ class Index:
         return best
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """Indexes of at most about INDEX_ITEMS items each; term counts and lengths are those of the whole benchmark."""
+def indexes(benchmark: DataFrame):
+    """Lists of AT_ONCE indexes at most, one list at a time, each index of at most about INDEX_ITEMS items; term counts and lengths are those of the whole benchmark."""
     rows = raw_text(benchmark.where("item_id is not null"), "item_id").dropDuplicates()
     total = rows.agg(F.count("*").alias("n"), F.sum(F.length("_text")).alias("b")).first()
     if not total["n"]:
-        return []
+        return
 
     def counted(batches):
         for b in batches:
@@ -200,7 +248,9 @@ def indexes(benchmark: DataFrame) -> list[Index]:
         words = benchmark.sparkSession.createDataFrame([(bytearray(w),) for w in {w for _, t in own for w in terms_of(t)} | {b""}], "term binary")
         df = {bytes(r["term"]): r["df"] for r in counts.join(F.broadcast(words), "term").collect()}
         out.append(Index(own, df, whole["df"], max(1.0, whole["length"] / max(1, whole["df"]))))
-    return out
+        if len(out) == AT_ONCE or k == n - 1:
+            yield out
+            out = []
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,19 +258,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Every passage of every text is a query. Items without words, or with a null id, match nothing; null and empty texts
     hold nothing; an empty benchmark or corpus gives no rows. Items of equal texts are all found. Repeated documents are
-    each reported. A score is the share of the item's own BM25 score."""
+    each reported. A score is the share of the item's own BM25 score. Texts of any length are searched whole; other columns,
+    whatever their names, are not read."""
     kinds = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), *((n, pa.float64()) for n in ("score", "question_overlap", "answer_overlap"))])
     rows = raw_text(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
     found = docs.sparkSession.createDataFrame([], kinds)
-    for index in indexes(benchmark):
+    for some in indexes(benchmark):
 
-        def run(batches, index=index):
+        def run(batches, some=some):
             for b in batches:
                 for at in range(0, b.num_rows, 200):
                     part = b.slice(at, 200)
                     names = column(part, "doc_id").to_pylist()
-                    got = [(names[d], *x) for d, *x in index.confirmed(column(part, "_text").to_pylist())]
+                    texts = column(part, "_text").to_pylist()
+                    got = [(names[d], *x) for index in some for d, *x in index.confirmed(texts)]
                     if got:
                         yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*got), schema)], schema=schema)
 
@@ -233,12 +285,17 @@ def op4_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go; a map over the texts for each index."""
-    for index in indexes(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
+    """Documents that hold a test item go; a map over the texts for each list of indexes.
+
+    Edge cases are those of contamination(): null and empty texts and rows without an id hold nothing they do not say, so
+    they stay; repeated rows stay or go together; an empty table or benchmark changes nothing. All columns are kept,
+    whatever their names."""
+    clean_col = free_name(docs, "clean")
+    for some in indexes(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
 
-        def clean(texts, index=index):
-            held = {at + d for at in range(0, len(texts), 200) for d, *_ in index.confirmed(texts[at : at + 200])}
+        def clean(texts, some=some):
+            held = {at + d for at in range(0, len(texts), 200) for index in some for d, *_ in index.confirmed(texts[at : at + 200])}
             return [pa.array([d not in held for d in range(len(texts))], pa.bool_())]
 
-        docs = with_columns(docs, [("__clean", "boolean")], lambda clean=clean: clean).where("__clean").drop("__clean")
+        docs = with_columns(docs, [(clean_col, "boolean")], lambda clean=clean: clean).where(F.col(clean_col)).drop(clean_col)
     return docs

@@ -9,8 +9,9 @@ a seating leaves behind is its number of tables, so that is drawn from its condi
 seating of every word. Tables of one restaurant are drawn at once against its total of the sweep before, which is what
 lets the sweep be distributed. Discounts follow the counts of counts.
 
-Pairs of word and context are dealt by a hash of both, so no word or context, however frequent, makes a task large.
-What crosses the buckets of pairs are sums by word and by context: each bucket sends its own by ranges of their hash, they
+Pairs of word and context are dealt by the word, those of frequent words by word and context, so none makes a task large.
+Which words are frequent is estimated on rows chosen by a hash of id and text; it decides where pairs are worked on and
+nothing else. What crosses the buckets of pairs are sums by word and by context: each bucket sends its own by ranges of their hash, they
 are added up there, and totals return in the same order. Only pairs of two customers and more take part in sweeps, as one
 customer has one table.
 """
@@ -29,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import materialise
-from .common import column, fold, raw_text, words_of
+from .common import column, fold, raw_text, table_batch, words_of
 
 #: Tokens of a bucket, about; documents and bytes of a block, at most (a longer text is a block of its own).
-BUCKET_TOKENS, BLOCK_DOCS, BLOCK_BYTES = 2_000_000, 1000, 8 << 20
+BUCKET_TOKENS, BLOCK_DOCS, BLOCK_BYTES = 1_000_000, 1000, 8 << 20
 #: Strengths of the contexts and of their parent; sweeps before the first sample, samples, proposals of a sweep for a large pair.
 STRENGTH, PARENT_STRENGTH, BURN_IN, SAMPLES, PROPOSALS, SEED = 1.0, 1.0, 1, 3, 4, 5
+#: A word is frequent that has this share of the tokens, in one of so many rows.
+FREQUENT, ONE_IN = 1 / 4000, 64
 #: Customers up to which tables are drawn from their exact law.
 SMALL = 64
 END = b"\n"
@@ -231,7 +234,22 @@ def blocks_of(batches):
 PACKED = "bucket int, block long, docs array<long>, held array<boolean>, words binary, names binary, context binary, doc binary, n binary"
 
 
-def packed_tokens(rows: DataFrame, buckets: int) -> DataFrame:
+def frequent_words(rows: DataFrame) -> np.ndarray:
+    """Hashes of the words, fewer than 1 / FREQUENT, that are frequent in one of ONE_IN rows, in order."""
+    schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
+
+    def run(batches):
+        for part in blocks_of(batches):
+            names, words, *_ = tokens_of([x for *_, x in part])
+            yield table_batch(schema, word=names.view(np.int64), n=np.bincount(words, minlength=len(names)))
+
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "_text"), F.lit(ONE_IN)) == 0)
+    counts = materialise(chosen.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return np.sort(np.array([r["word"] for r in counts.where(F.col("n") > total * FREQUENT).collect()], np.int64).view(np.uint64))
+
+
+def packed_tokens(rows: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """Blocks of documents, cut by buckets: the pairs' words in order, the contexts' names and each pair's place in them, the
     documents that have the pairs, and twice how often, plus 1 for a training document. A row with a negative bucket names a
     block's documents."""
@@ -249,8 +267,8 @@ def packed_tokens(rows: DataFrame, buckets: int) -> DataFrame:
             keys, doc = keys[first], doc[first]
             n = 2 * n + ~np.array(held, bool)[doc]
             word, context = names[keys >> 32], keys & 0xFFFFFFFF
-            mixed = (word ^ (names[context] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
-            to = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+            own = np.where(np.isin(word, hot), word ^ (names[context] * np.uint64(0x9E3779B97F4A7C15)), word) * np.uint64(0xC2B2AE3D27D4EB4F)
+            to = ((own >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(to, kind="stable")
             cuts = np.searchsorted(to[order], np.arange(buckets + 1))
             out = [(-1 - block % buckets, block, ids, held, *[None] * 5)]
@@ -474,7 +492,7 @@ def pitman_yor(docs: DataFrame, folds: int = 7, held_out: int = 2, id_col: str =
     rows = raw_text(rows, "doc_id", "held_out")
     size = rows.agg(F.sum(F.length("_text") + 1).alias("n")).first()["n"] or 0
     parts = buckets = max(16, math.ceil(size / 6 / BUCKET_TOKENS))  # a word and a blank are about six bytes
-    every_bucket = materialise(merged(packed_tokens(rows, buckets)), "buckets")
+    every_bucket = materialise(merged(packed_tokens(rows, buckets, frequent_words(rows))), "buckets")
     table = every_bucket.where("bucket >= 0").drop("docs", "held")
     names = materialise(gathered_names(table, parts), "names")
     active = materialise(active_pairs(table, parts), "active")

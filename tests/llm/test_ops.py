@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from liaison.llm import decontamination, mixing, pii, pitman_yor, quality, sentence_dedup, simhash, token_output, toxicity, webp
-from liaison.llm.common import sum_arrays
+from liaison.llm.common import looked_up, sum_arrays
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -215,6 +215,28 @@ def test_subwords_carry_to_unseen_spellings():
     assert score([clean + b" grumbelzz"])[0] > 0.3 > score([clean])[0]
 
 
+def test_toxicity_held_out(spark):
+    d = "/root/testdata/sf0.01"
+    docs, named = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = {r["doc_id"]: r for r in toxicity.toxicity(docs, named).collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in rows.items())
+    held = [(r["toxic"], rows[r["doc_id"]]) for r in named.where("toxic is not null").collect() if r["doc_id"] in rows and rows[r["doc_id"]]["held_out"]]
+    toxic, clean = ([r["predicted"] for y, r in held if y == k] for k in (1, 0))
+    assert np.mean([r["predicted"] == y for y, r in held]) > max(len(clean), len(toxic)) / len(held) and np.mean(toxic) > 0.5 > 0.1 > np.mean(clean)
+
+
+def test_toxicity_learns_from_bounded_rows_outside_the_fold(spark, docs, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_ROWS", {1: 20, 0: 30})
+    named = spark.read.parquet(f"{SF}/labels.parquet")
+    flipped = named.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    one, other = (toxicity.sample(docs, x, 4, 2) for x in (named, flipped))
+    assert one[0] == other[0] and one[1].tolist() == other[1].tolist() and one[2] == other[2]
+    some = docs.select("doc_id", "text").where("doc_id = 1").limit(1)
+    many = docs.select("doc_id", "text").union(some.crossJoin(spark.range(300)).select("doc_id", F.concat("text", F.col("id").cast("string")).alias("text")))
+    texts, labels, _ = toxicity.sample(many, named.union(named), 4, 2)
+    assert len(texts) <= 50 and labels.sum() <= 20 and all(len(t) <= toxicity.MAX_TEXT + 1000 for t in texts)
+
+
 # --- Pitman-Yor ---
 
 
@@ -434,7 +456,12 @@ def test_media_columns(docs, odd, empty):
 
 def test_payloads_of_over_a_megabyte():
     payload = bytes(random.Random(0).choices(range(97, 123), k=64 * 16384 + 64))
-    assert webp.load(webp.store(payload))[: len(payload)] == payload
+    assert webp.load(webp.store(payload)) == payload
+
+
+def test_smooth_payloads_are_predicted():
+    smooth = bytes((np.cumsum(np.random.default_rng(0).integers(0, 3, 6400)) & 255).astype(np.uint8))
+    assert webp.load(webp.store(smooth)) == smooth and len(webp.store(smooth)) < 0.5 * len(smooth)
 
 
 # --- sentence spans ---
@@ -451,19 +478,52 @@ def test_sentence_spans_against_brute_force(spark, docs, odd, empty):
     more = spark.createDataFrame([(9001, f"Intro of it.\n{passage}\nTail."), (9002, f"{passage} Other end of the text."), (9003, "Short. Short. Short.")], "doc_id long, text string")
     both = docs.select("doc_id", "text").union(more)
     found = {r["doc_id"]: list(r["removed"]) for r in sentence_dedup.repeated_sentences(both).collect()}
-    first, want, parts = {}, {}, {i: sentence_dedup.sentences(t) for i, t in sorted(texts_of(both).items())}
-    key = lambda p, a, z: tuple(w for x in p[a : z + 1] for w in x[2])
+    first, want, parts = {}, {}, {i: [w for *_, w in sentence_dedup.sentences(t)] for i, t in sorted(texts_of(both).items())}
+
+    def every_run(p):
+        for a in range(len(p)):
+            for z in range(a + 2, min(a + 30, len(p)) + 1):
+                key = tuple(w for x in p[a:z] for w in x)
+                if len(key) >= 20:
+                    yield a, z, tuple(map(tuple, p[a:z]))
+
     for i, p in parts.items():
-        for a, z, _ in sentence_dedup.runs(p):
-            first.setdefault(key(p, a, z), (i, a))
+        for a, _, key in every_run(p):
+            first.setdefault(key, (i, a))
     for i, p in parts.items():
-        gone = sorted({s for a, z, _ in sentence_dedup.runs(p) if first[key(p, a, z)] != (i, a) for s in range(a, z + 1)})
+        gone = sorted({s for a, z, key in every_run(p) if first[key] != (i, a) for s in range(a, z)})
         if gone:
             want[i] = gone
     assert found == want and found[9002][:3] == [0, 1, 2] and 9001 not in found and 9003 not in found
     assert sentence_dedup.repeated_sentences(odd).count() <= 2 and sentence_dedup.repeated_sentences(empty).count() == 0
 
 
+def test_every_sentence_of_a_repeated_run_goes(spark):
+    rng = random.Random(4)
+    lines = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) + "." for n in (19, 10, 3)]
+    rows = [(1, "A lead. " + " ".join(lines) + " One end."), (2, "Quite another start here. " + " ".join(lines) + " Another tail.")]
+    got = sentence_dedup.repeated_sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["doc_id"], list(r["removed"])) for r in got] == [(2, [1, 2, 3])]
+
+
+def test_unpunctuated_passages_are_found_at_any_offset(spark):
+    rng = random.Random(9)
+    word = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passages = [word(n) for n in (60, 80, 120, 200) for _ in range(20)]
+    rows = [(i, f"{word(rng.randrange(90))} {p} {word(rng.randrange(90))}") for i, p in enumerate(passages)]
+    rows += [(1000 + i, f"{word(rng.randrange(90))} {p} {word(rng.randrange(90))}") for i, p in enumerate(passages)]
+    left = {r["doc_id"]: r["text"] for r in sentence_dedup.repeated_sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = [1 - len(set(left.get(1000 + i, p).split()) & set(p.split())) / len(p.split()) for i, p in enumerate(passages)]
+    assert np.mean([g > 0.5 for g in gone]) >= 0.95 and min(gone[40:]) > 0.4 and min(left) >= 1000
+
+
+def test_hot_keys_are_looked_up_in_a_broadcast(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).alias("k"), "id")
+    table = rows.select("k").distinct().withColumn("v", F.col("k") * 2)
+    got = looked_up(rows, table, "k")
+    assert got.count() == 5000 and got.where("v <> 2 * k").count() == 0
+
+
 # --- decontamination ---
 
 
@@ -616,7 +676,9 @@ def test_stages_with_odd_rows(spark, odd, labels, tmp_path):
 
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "what is it? it is a thing of the past and more")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    rows = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    rows = odd
+    for name in ("_score", "__rate", "clean", "COPY", "_bytes", "__text_bytes", "hash", "row", "words", "k"):
+        rows = rows.withColumn(name, F.lit("clash"))
     for _, stage in corpus_pipeline.STAGES:
         rows = corpus_pipeline.materialise(stage(spark, rows, str(tmp_path)), "odd")
     assert rows.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
