@@ -86,3 +86,16 @@ def tree_wasserstein(profile: DataFrame, paths: DataFrame, weights: DataFrame |
     right = total.where("db = 1").select(F.col("entity").alias("j"), F.col("t").alias("tj"))
     pairs = left.crossJoin(right).join(both, ["i", "j"], "left")
     return pairs.select("i", "j", (F.col("ti") + F.col("tj") - 2 * F.coalesce("s", F.lit(0.0))).alias("cost"))
+
+
+def squared(costs: DataFrame, least: float = 1e-10) -> DataFrame:
+    """Each cost over the largest of all, squared; what is below `least` is 0. Without a positive cost all are 0."""
+    top = F.broadcast(costs.agg(F.max("cost").alias("top")))  # one row
+    s = F.coalesce(F.pow(F.try_divide(F.col("cost"), F.col("top")), 2), F.lit(0.0))
+    return costs.crossJoin(top).select("i", "j", F.when(s < least, 0.0).otherwise(s).alias("cost"))
+
+
+def path_distance(lcas: DataFrame, depths: DataFrame) -> DataFrame:
+    """`(t1, t2, cost)`: depth of both terms less twice that of their deepest common ancestor `(t1, t2, depth)`."""
+    own = lambda n: depths.select(F.col("term").alias(n), F.col("depth").alias(f"d_{n}"))
+    return lcas.join(own("t1"), "t1").join(own("t2"), "t2").select("t1", "t2", (F.col("d_t1") + F.col("d_t2") - 2 * F.col("depth")).alias("cost"))

@@ -99,3 +99,45 @@ def mean_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     both = mean_ranks(mean_ranks(rows.select(a, b), a, "_ra"), b, "_rb")
     return both.agg(F.corr("_ra", "_rb").alias("rho"))
+
+
+def truth_from(xref: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """`(i, j)`: the pairs of `xref(a, b)` whose ends both are entities of the catalogues, each once."""
+    a, b = left.select(F.col("entity").alias("i")).distinct(), right.select(F.col("entity").alias("j")).distinct()
+    return xref.select(F.col("a").alias("i"), F.col("b").alias("j")).distinct().join(a, "i", "left_semi").join(b, "j", "left_semi").select("i", "j")
+
+
+def many_to_many(pairs: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+    """One row for sources with several truths: how often any is first or within k, the share of all truths within k, and the
+    mean rank of the best one."""
+    rows = ranked(pairs).join(truth, ["i", "j"], "left_semi")
+    each = rows.groupBy("i").agg(F.min("rank").alias("first"), F.count("*").alias("n"), F.sum((F.col("rank") <= k).cast("long")).alias("hits"))
+    share = lambda n: F.avg((F.col("first") <= n).cast("double"))
+    return each.agg(F.count("*").alias("n_sources"), share(1).alias("any_1"), share(k).alias(f"any_{k}"), (F.sum("hits") / F.sum("n")).alias(f"recall_{k}"), F.avg("first").alias("mean_first"))
+
+
+def agreement(truth: DataFrame, genes: DataFrame) -> DataFrame:
+    """`(i, j, genes_i, genes_j, verdict)`: whether the sets of `genes(db, entity, gene)` of a pair are equal, differ or miss."""
+    sets = genes.groupBy("db", "entity").agg(F.array_join(F.array_sort(F.collect_set("gene")), ",").alias("genes"))
+    own = lambda db, n: sets.where(F.col("db") == db).select(F.col("entity").alias(n), F.col("genes").alias(f"genes_{n}"))
+    rows = truth.join(own(0, "i"), "i", "left").join(own(1, "j"), "j", "left")
+    missing = F.col("genes_i").isNull() | F.col("genes_j").isNull()
+    verdict = F.when(missing, "missing").when(F.col("genes_i") == F.col("genes_j"), "equal").otherwise("differ")
+    return rows.select("i", "j", F.coalesce("genes_i", F.lit("")).alias("genes_i"), F.coalesce("genes_j", F.lit("")).alias("genes_j"), verdict.alias("verdict"))
+
+
+def term_coverage(profile: DataFrame, known: DataFrame) -> DataFrame:
+    """One row: terms of either catalogue, of both, of any that are `known(term)`, and known ones."""
+    sides = profile.groupBy("term").agg(F.max((F.col("db") == 0).cast("long")).alias("a"), F.max((F.col("db") == 1).cast("long")).alias("b"))
+    rows = sides.join(known.select("term", F.lit(1).alias("k")), "term", "full")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    any_of = F.greatest(zero(F.col("a")), zero(F.col("b")))
+    return rows.agg(F.sum(zero(F.col("a"))).alias("n_left"), F.sum(zero(F.col("b"))).alias("n_right"), F.sum(zero(F.col("a") * F.col("b"))).alias("n_both"),
+                    F.sum(any_of * zero(F.col("k"))).alias("n_known"), F.sum(zero(F.col("k"))).cast("long").alias("n_terms"))
+
+
+def varying(profile: DataFrame) -> DataFrame:
+    """`(term, n_entities)` of the terms that some entities have and some do not."""
+    n = F.broadcast(profile.select("db", "entity").distinct().agg(F.count("*").alias("_n")))  # one row
+    rows = profile.distinct().groupBy("term").agg(F.count("*").alias("n_entities"))
+    return rows.crossJoin(n).where(F.col("n_entities") < F.col("_n")).select("term", "n_entities")
