@@ -13,12 +13,17 @@ def dot(u: Column, v: Column) -> Column:
     return F.aggregate(F.zip_with(u, v, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with `value` evaluated once, however often `body` or a function of elements names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def norm(u: Column) -> Column:
-    return F.sqrt(dot(u, u))
+    return let(u, lambda u: F.sqrt(dot(u, u)))
 
 
 def scaled(u: Column, k: Column) -> Column:
-    return F.transform(u, lambda x: x * k)
+    return let(k, lambda k: F.transform(u, lambda x: x * k))
 
 
 def added(u: Column, v: Column) -> Column:
@@ -30,6 +35,10 @@ def _atanh(x: Column) -> Column:
 
 
 def mobius_add(u: Column, v: Column, c: float = 1.0) -> Column:
+    return let(u, lambda u: let(v, lambda v: _mobius_add(u, v, c)))
+
+
+def _mobius_add(u: Column, v: Column, c: float) -> Column:
     uv, uu, vv = dot(u, v), dot(u, u), dot(v, v)
     base = F.greatest(1 + 2 * c * uv + c * c * uu * vv, F.lit(1e-15))
     return added(scaled(u, (1 + 2 * c * uv + c * vv) / base), scaled(v, (1 - c * uu) / base))
@@ -66,6 +75,32 @@ def expmap(p: Column, u: Column, c: float = 1.0) -> Column:
     return mobius_add(p, scaled(u, F.tanh(F.least(c**0.5 * conformal(p, c) * n / 2, F.lit(15.0))) / (n * c**0.5)), c)
 
 
+def logmap(p: Column, q: Column, c: float = 1.0) -> Column:
+    """The tangent vector at p whose exponential is q: 2 / (sqrt(c) lambda(p)) atanh(sqrt(c) |-p + q|) in its direction."""
+    gap = mobius_add(scaled(p, F.lit(-1.0)), q, c)
+    n = F.greatest(norm(gap), F.lit(1e-15))
+    return scaled(gap, 2 / (c**0.5 * conformal(p, c)) * _atanh(n * c**0.5) / n)
+
+
+def inner(p: Column, u: Column, v: Column, c: float = 1.0) -> Column:
+    """The inner product of tangent vectors at p."""
+    return F.pow(conformal(p, c), 2) * dot(u, v)
+
+
+def gyration(a: Column, b: Column, u: Column, c: float = 1.0) -> Column:
+    """-(a + b) + (a + (b + u)) in closed form: the turn by which Moebius addition fails to associate; it keeps lengths."""
+    ab, au, bu, aa, bb = dot(a, b), dot(a, u), dot(b, u), dot(a, a), dot(b, b)
+    base = F.greatest(1 + 2 * c * ab + c * c * aa * bb, F.lit(1e-15))
+    for_a = 2 * (c * bu + 2 * c * c * ab * bu - c * c * au * bb) / base
+    for_b = -2 * (c * au + c * c * bu * aa) / base
+    return added(u, added(scaled(a, for_a), scaled(b, for_b)))
+
+
+def transported(v: Column, x: Column, y: Column, c: float = 1.0) -> Column:
+    """The tangent vector v at x carried to y: turned by the gyration of y and -x, and scaled by lambda(x) / lambda(y)."""
+    return scaled(gyration(y, scaled(x, F.lit(-1.0)), v, c), conformal(x, c) / conformal(y, c))
+
+
 def projected(u: Column, c: float = 1.0, eps: float = 1e-3) -> Column:
     most = (1 - eps) / c**0.5
     n = F.greatest(norm(u), F.lit(1e-15))
@@ -96,3 +131,9 @@ def lorentz_distance(u: Column, v: Column) -> Column:
 
 def lorentz_to_poincare(u: Column) -> Column:
     return scaled(F.slice(u, 2, F.size(u) - 1), 1 / (F.element_at(u, 1) + 1))
+
+
+def lorentz_from_poincare(u: Column) -> Column:
+    """The point of the hyperboloid, time first."""
+    uu = dot(u, u)
+    return F.concat(F.array((1 + uu) / (1 - uu)), scaled(u, 2 / (1 - uu)))

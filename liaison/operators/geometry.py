@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import hyperbolic as H
+from ..shared import materialise
+
+#: Vectors of a block.
+BLOCK = 2048
 
 
 def barycentres(rows: DataFrame, key: str, weight: str | None = None) -> DataFrame:
@@ -37,6 +43,39 @@ def nearest(distances: DataFrame, k: int) -> DataFrame:
     return rows.select("i", "j", F.when(F.col("d") == 0, 1e-4).otherwise(F.col("d")).alias("d"))
 
 
+def nearest_vectors(rows: DataFrame, k: int) -> DataFrame:
+    """nearest() of the Poincare distances between all vectors, block against block: a task multiplies two blocks of BLOCK
+    vectors and keeps each vector's k nearest of the other block (and ties), so what is shuffled are n * k rows a block."""
+    n = -(-rows.count() // BLOCK)
+    kinds = "block int, ids array<long>, vecs binary"
+
+    def pack(pdf):
+        own = pdf.sort_values("id")
+        return type(pdf)({"block": own["block"].iloc[:1], "ids": [own["id"].tolist()], "vecs": [np.stack(own["vec"]).astype(float).tobytes()]})
+
+    dealt = rows.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(max(n, 1))).cast("int").alias("block"))
+    blocks = materialise(dealt.groupBy("block").applyInPandas(pack, kinds), "blocks")
+    schema = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("d", pa.float64())])
+
+    def search(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                i, j = np.array(r["ids"]), np.array(r["ids_j"])
+                u, v = (np.frombuffer(r[n]).reshape(len(x), -1) for n, x in (("vecs", i), ("vecs_j", j)))
+                uu, vv, uv = (u * u).sum(axis=1)[:, None], (v * v).sum(axis=1), u @ v.T
+                gap = np.maximum(uu + vv - 2 * uv, 0) / np.maximum(1 - 2 * uv + uu * vv, 1e-15)
+                d = 2 * np.arctanh(np.clip(np.sqrt(gap), H.LEAST, H.MOST))
+                near = np.round(d, 9)
+                near[i[:, None] == j] = np.inf
+                most = np.partition(near, min(k, len(j)) - 1, axis=1)[:, min(k, len(j)) - 1 :][:, :1]
+                x, y = np.nonzero((near <= most) & np.isfinite(near))
+                yield pa.RecordBatch.from_arrays([pa.array(i[x]), pa.array(j[y]), pa.array(d[x, y])], schema=schema)
+
+    # every block meets every block, a row of packed vectors for each pair of blocks
+    both = blocks.crossJoin(blocks.select(F.col("ids").alias("ids_j"), F.col("vecs").alias("vecs_j"))).drop("block")
+    return nearest(both.mapInArrow(search, "i long, j long, d double"), k)
+
+
 def symmetric(knn: DataFrame, mutual: bool = False) -> DataFrame:
     """The union of neighbours both ways (largest distance), or only mutual ones (smallest)."""
     back = knn.select(F.col("j").alias("i"), F.col("i").alias("j"), "d")
@@ -79,3 +118,21 @@ def dispersion(rows: DataFrame, key: str) -> DataFrame:
     pairs = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.id") < F.col("b.id")))
     d = pairs.select(F.col(f"a.{key}").alias(key), H.distance(F.col("a.vec"), F.col("b.vec")).alias("d"))
     return d.groupBy(key).agg(F.count("*").alias("n"), F.sum("d").alias("sum"), F.avg("d").alias("mean"), F.max("d").alias("max"), F.min("d").alias("min"), F.stddev_pop("d").alias("std"))
+
+
+def quality_summary(curve: DataFrame, n: int) -> DataFrame:
+    """One row from `(k, q)` of coranking(): the k at which q exceeds chance most, and the means of q up to it and beyond."""
+    lift = F.round(F.col("q") - (F.col("k") + 1) / n, 9)
+    best = F.broadcast(curve.agg(F.min(F.struct((-lift).alias("l"), "k"))["k"].alias("k_max")))  # one row
+    rows = curve.crossJoin(best)
+    near, far = (F.avg(F.when(c, F.col("q"))) for c in (F.col("k") <= F.col("k_max"), F.col("k") > F.col("k_max")))
+    return rows.groupBy("k_max").agg(near.alias("q_local"), far.alias("q_global"))
+
+
+def precision_at(distances: DataFrame, neighbours: DataFrame, most: int) -> DataFrame:
+    """`(k, precision)` for k = 1 .. most: the mean share of `neighbours(i, j)` among the k nearest."""
+    order = W.partitionBy("i").orderBy(F.round("d", 9), "j")
+    rows = distances.where("i <> j").withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+    hits = rows.join(neighbours.select("i", "j", F.lit(1).alias("hit")), ["i", "j"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    up = F.sum("hit").over(W.partitionBy("i").orderBy("k"))
+    return hits.withColumn("p", up / F.col("k")).groupBy("k").agg(F.avg("p").alias("precision"))

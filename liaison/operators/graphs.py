@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..shared import materialise
 from .components import connected_components
+from .ontology import closure
 
 
 def spanning_links(nodes: DataFrame, edges: DataFrame, linked: DataFrame | None = None) -> DataFrame:
@@ -84,10 +85,8 @@ def negative_pairs(nodes: DataFrame, edges: DataFrame, n: int, far: int = 5, see
     by the bounded closure of the undirected graph and taken away."""
     both = edges.select(F.col("i").alias("child"), F.col("j").alias("parent"))
     both = both.union(both.select("parent", "child")).distinct()
-    from .ontology import closure
-
     near = closure(both, far - 1).select(F.col("term").alias("i"), F.col("ancestor").alias("j"))
-    rank = F.xxhash64("i", "j", F.lit(seed))
+    rank = F.md5(F.concat_ws("|", F.col("i").cast("string"), F.col("j").cast("string"), F.lit(str(seed))))
     pairs = nodes.select(F.col("node").alias("i")).join(nodes.select(F.col("node").alias("j")), F.col("i") < F.col("j"))
     return pairs.join(near, ["i", "j"], "left_anti").orderBy(rank, "i", "j").limit(n)
 
@@ -109,3 +108,14 @@ def pairwise_wasserstein(pairs: DataFrame, terms: DataFrame) -> DataFrame:
         return pd.DataFrame({"i": pdf["i"].iloc[:1], "j": pdf["j"].iloc[:1], "cost": [emd(np.ascontiguousarray(grid.to_numpy()))[1]]})
 
     return pairs.join(terms, ["t1", "t2"]).groupBy("i", "j").applyInPandas(solve, "i string, j string, cost double")
+
+
+def hard_negatives(edges: DataFrame, hops: int) -> DataFrame:
+    """`(term, ancestor)` within so many steps up, but not one."""
+    return closure(edges, hops).join(edges.select(F.col("child").alias("term"), F.col("parent").alias("ancestor")), ["term", "ancestor"], "left_anti")
+
+
+def edge_split(edges: DataFrame, validation: str = "d9", test: str = "e6") -> DataFrame:
+    """Edges with their `split` by the md5 of both ends: from the first digits given on validation, and test."""
+    h = F.md5(F.concat_ws("|", "child", "parent"))
+    return edges.select("child", "parent", F.when(h < validation, "train").when(h < test, "validation").otherwise("test").alias("split"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shared import materialise
+from .ranking import order_statistics, quantiles
+
 
 def ranked(pairs: DataFrame, value: str = "cost", ascending: bool = True) -> DataFrame:
     """`pairs(i, j, value)` with the rank of j in i's row from 1; equal values (to 9 decimals) rank by j."""
@@ -46,13 +51,11 @@ def gap_features(plan: DataFrame) -> DataFrame:
     return rows.groupBy("i").agg(one.alias("top_share"), (F.ln(one + 1e-12) - F.ln(two + 1e-12)).alias("log_gap"), entropy.alias("entropy"))
 
 
-def above_quantiles(pairs: DataFrame, quantiles: list[float], value: str = "value", by: list[str] = ()) -> DataFrame:
-    """`(…by, quantile, i, j)`: the cells over each exact quantile of all cells (linear interpolation)."""
-    cut = F.percentile(value, F.array(*map(F.lit, quantiles)))
-    limits = (pairs.groupBy(*by) if by else pairs.groupBy()).agg(cut.alias("cuts"))
-    limits = limits.select(*by, F.posexplode("cuts").alias("q", "cut")).withColumn("quantile", F.element_at(F.array(*map(F.lit, quantiles)), F.col("q") + 1))
-    rows = pairs.join(F.broadcast(limits), list(by)) if by else pairs.crossJoin(F.broadcast(limits))  # a row for each quantile
-    return rows.where(F.col(value) > F.col("cut")).select(*by, "quantile", "i", "j")
+def above_quantiles(pairs: DataFrame, levels: list[float], value: str = "value") -> DataFrame:
+    """`(quantile, i, j)`: the cells over each exact quantile of all cells (linear interpolation), all to nine decimals."""
+    rows = pairs.select("i", "j", F.round(value, 9).alias("_v"))
+    limits = quantiles(rows, "_v", levels)
+    return rows.join(F.broadcast(limits), F.col("_v") > F.col("cut")).select("quantile", "i", "j")
 
 
 def recall_precision(found: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,13 +68,49 @@ def recall_precision(found: DataFrame, truth: DataFrame, keys: list[str]) -> Dat
 
 def conformal(scores: DataFrame, alpha: float, value: str = "score") -> DataFrame:
     """The threshold that holds a share 1 - alpha of calibration scores, with the finite-sample correction, 1 at most."""
-    n = F.count("*")
-    level = F.least(F.lit(1.0), F.ceil((n + 1) * (1 - alpha)) / n)
-    sizes = scores.agg(n.alias("n"), level.alias("level"))
-    ordered = scores.select(value).withColumn("r", F.row_number().over(W.orderBy(value)) - 1)
-    at = F.col("level") * (F.col("n") - 1)
-    near = ordered.crossJoin(F.broadcast(sizes)).where((F.col("r") == F.floor(at)) | (F.col("r") == F.ceil(at)))
-    return near.groupBy("n", "level").agg((F.min(value) + (F.max(value) - F.min(value)) * (F.first(at) - F.floor(F.first(at)))).alias("threshold"))
+    spark, n = scores.sparkSession, scores.where(F.col(value).isNotNull()).count()
+    if not n:
+        return spark.createDataFrame([], "n long, level double, threshold double")
+    level = min(1.0, math.ceil((n + 1) * (1 - alpha)) / n)
+    cut = quantiles(scores, value, [level], digits=12)
+    return cut.select(F.lit(n).cast("long").alias("n"), F.lit(level).alias("level"), F.col("cut").alias("threshold"))
+
+
+def prediction_sets(pairs: DataFrame, truth: DataFrame, alpha: float, value: str = "cost") -> DataFrame:
+    """One row: a fifth of the sources (by md5 of their name) calibrates the cost that holds 1 - alpha of true pairs, and for
+    the others come the share whose truth is within it and the mean size of their sets."""
+    calibrates = F.md5(F.col("i").cast("string")) < "33"
+    true = pairs.join(truth, ["i", "j"], "left_semi").select("i", F.round(value, 9).alias("_v"))
+    held = true.where(calibrates)
+    n = held.count()
+    place = pairs.sparkSession.createDataFrame([(max(0, min(n, math.ceil((n + 1) * (1 - alpha))) - 1),)], "place long")
+    cut = F.broadcast(order_statistics(held, "_v", place).select(F.col("_v").alias("threshold")))  # one row
+    sets = pairs.where(~calibrates).join(cut, F.round(value, 9) <= F.col("threshold")).groupBy("i").agg(F.count("*").alias("size"))
+    rows = true.where(~calibrates).join(cut, F.lit(True)).join(sets, "i", "left")
+    hit = F.avg((F.col("_v") <= F.col("threshold")).cast("double"))
+    return rows.groupBy("threshold").agg(F.count("*").alias("n"), hit.alias("coverage"), F.avg(F.coalesce("size", F.lit(0))).alias("mean_size"))
+
+
+def binary_report(rows: DataFrame, score: str, label: str, cut: float) -> DataFrame:
+    """One row of counts at `score >= cut`, accuracy, precision, recall, ROC-AUC and average precision of `label` 0 or 1.
+
+    Scores count to six decimals, so there are few distinct ones whatever the rows; equal scores count half in the AUC and
+    as one step in the precision."""
+    counts = rows.groupBy(F.round(score, 6).alias("s")).agg(F.sum(label).cast("long").alias("p"), F.count("*").alias("n"))
+    down = W.orderBy(F.desc("s"))
+    runs = counts.withColumns({"tp": F.sum("p").over(down), "all": F.sum("n").over(down)})
+    above = (F.col("all") - F.col("tp")) - (F.col("n") - F.col("p"))  # label 0 with higher scores
+    total = F.broadcast(counts.agg(F.sum("p").alias("pos"), F.sum("n").alias("total")))
+    hit = (F.col("s") >= cut).cast("long")
+    neg = F.col("total") - F.col("pos")
+    sums = runs.crossJoin(total).groupBy("pos", "total").agg(
+        F.sum(hit * F.col("p")).alias("tp"), F.sum(hit * (F.col("n") - F.col("p"))).alias("fp"),
+        F.sum(F.col("p") * (neg - above - 0.5 * (F.col("n") - F.col("p")))).alias("auc"), F.sum(F.col("p") * F.col("tp") / F.col("all")).alias("ap"),
+    )
+    tn = neg - F.col("fp")
+    return sums.select("tp", "fp", (F.col("pos") - F.col("tp")).alias("fn"), tn.alias("tn"), ((F.col("tp") + tn) / F.col("total")).alias("accuracy"),
+                       F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), F.try_divide(F.col("tp"), F.col("pos")).alias("recall"),
+                       F.try_divide(F.col("auc"), F.col("pos") * neg).alias("roc_auc"), F.try_divide(F.col("ap"), F.col("pos")).alias("average_precision"))
 
 
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column, Column]:
@@ -89,10 +128,13 @@ def correlation(one: DataFrame, two: DataFrame) -> DataFrame:
 
 
 def mean_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """Ranks of a column's values, ties at their mean: counts by value, then a running sum over the values."""
-    counts = rows.groupBy(value).agg(F.count("*").alias("_n"))
-    below = F.sum("_n").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, -1))
-    mid = counts.select(value, (F.coalesce(below, F.lit(0)) + (F.col("_n") + 1) / 2).alias(name))
+    """Ranks of a column's values, ties at their mean: counts by value in ranges, a running sum in each, and what comes before."""
+    counts = rows.groupBy(value).agg(F.count("*").alias("_n")).repartitionByRange(value).withColumn("_p", F.spark_partition_id())
+    counts = materialise(counts, "values")
+    first = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # one row a partition
+    sizes = counts.groupBy("_p").agg(F.sum("_n").alias("_size")).select("_p", F.coalesce(F.sum("_size").over(first), F.lit(0)).alias("_first"))
+    below = F.col("_first") + F.sum("_n").over(W.partitionBy("_p").orderBy(value)) - F.col("_n")
+    mid = counts.join(F.broadcast(sizes), "_p").select(value, (below + (F.col("_n") + 1) / 2).alias(name))
     return rows.join(mid, value)
 
 

@@ -35,12 +35,15 @@ def with_self(up: DataFrame) -> DataFrame:
     return up.union(terms.select("term", F.col("term").alias("ancestor")))
 
 
-def path_counts(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """`(term, ancestor, n_paths)`: along how many ways a term's mass comes to an ancestor in a hierarchy of many parents."""
+def path_counts(edges: DataFrame) -> DataFrame:
+    """`(term, ancestor, n_paths)`: along how many ways a term's mass comes to an ancestor in a hierarchy of many parents. Ways
+    have an end only without cycles: as many rounds as there are terms mean a cycle, which is an error."""
     edges = materialise(edges.select("child", "parent").distinct(), "edges")
     new = edges.select(F.col("child").alias("term"), F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("n_paths"))
-    found = new
-    for _ in range(rounds):
+    found, most = new, edges.select("child").distinct().count()
+    for level in range(most + 1):
+        if level == most and not new.isEmpty():
+            raise ValueError("path_counts: the hierarchy has a cycle")
         step = new.join(edges, new["ancestor"] == edges["child"]).groupBy("term", F.col("parent").alias("ancestor")).agg(F.sum("n_paths").alias("n_paths"))
         new = materialise(step, "paths")
         if new.isEmpty():
@@ -138,9 +141,24 @@ def resolve(profile: DataFrame, replaced: DataFrame, known: DataFrame | None = N
     return rows.join(known, "term", "left_semi").select(profile.columns) if known is not None else rows
 
 
-def imputed(values: DataFrame, edges: DataFrame, up: DataFrame) -> DataFrame:
+def heights(edges: DataFrame) -> DataFrame:
+    """`(term, depth)`: the steps of the longest way from a leaf up to each term; a cycle is an error."""
+    edges = materialise(edges.select("child", "parent").distinct(), "edges")
+    found = new = _leaves(edges).select("term", F.lit(0).alias("depth"))
+    level, most = 0, edges.select("child").distinct().count()
+    while not new.isEmpty():
+        level += 1
+        if level > most + 1:
+            raise ValueError("heights: the hierarchy has a cycle")
+        step = new.join(edges, new["term"] == edges["child"]).select(F.col("parent").alias("term")).distinct()
+        new = materialise(step.select("term", F.lit(level).alias("depth")), "heights")
+        found = found.union(new)
+    return found.groupBy("term").agg(F.max("depth").alias("depth"))
+
+
+def imputed(values: DataFrame, edges: DataFrame) -> DataFrame:
     """`(term, entity, value)`: a term without values takes the mean of its children's, level by level from the leaves."""
-    height = depth(edges.select(F.col("parent").alias("child"), F.col("child").alias("parent")), _leaves(edges))
+    height = heights(edges)
     most = height.agg(F.max("depth")).first()[0] or 0
     own = values.select("term", "entity", "value")
     for level in range(1, most + 1):
@@ -155,3 +173,9 @@ def imputed(values: DataFrame, edges: DataFrame, up: DataFrame) -> DataFrame:
 
 def _leaves(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("child").alias("term")).distinct().join(edges.select(F.col("parent").alias("term")), "term", "left_anti")
+
+
+def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges whose ends are both among `nodes(n)`."""
+    own = nodes.select("n")
+    return edges.join(own.withColumnRenamed("n", "child"), "child", "left_semi").join(own.withColumnRenamed("n", "parent"), "parent", "left_semi").select("child", "parent")

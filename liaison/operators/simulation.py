@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranking import numbered
+
 
 def simulate(entities: DataFrame, group_size: int, per_target: int, overlap: float) -> DataFrame:
     """`(target, source)`: groups of `group_size` targets, each of `per_target` sources; a share of a group's slots are filled
@@ -16,7 +17,7 @@ def simulate(entities: DataFrame, group_size: int, per_target: int, overlap: flo
     slots = group_size * per_target
     shared = int(overlap * slots) // 2
     need = slots - shared
-    order = entities.select("entity").distinct().withColumn("n", F.row_number().over(W.orderBy(F.md5(F.col("entity").cast("string")), "entity")) - 1)
+    order = numbered(entities.select("entity").distinct(), F.md5(F.col("entity").cast("string")), F.col("entity"))
     groups = F.floor(F.col("total") / need)
     total = order.agg(F.count("*").alias("total"))
     own = order.crossJoin(F.broadcast(total)).withColumn("g", F.floor(F.col("n") / need)).where(F.col("g") < groups).withColumn("k", F.col("n") % need)
@@ -37,7 +38,6 @@ def flip(profile: DataFrame, terms: DataFrame, level: float) -> DataFrame:
     key = F.md5(F.concat_ws("|", "entity", "term"))
     ones = profile.select("entity", "term").distinct()
     n1, n = ones.count(), entities.count() * terms.count()
-    rank = F.row_number().over(W.orderBy(key, "entity", "term"))
-    kept = ones.withColumn("r", rank).where(F.col("r") > int(level * n1)).drop("r")
+    kept = numbered(ones, key, F.col("entity"), F.col("term"), name="_r").where(F.col("_r") >= int(level * n1)).drop("_r")
     zeros = entities.crossJoin(terms.select("term")).join(ones, ["entity", "term"], "left_anti")
     return kept.union(zeros.orderBy(key, "entity", "term").limit(int(level * (n - n1))))

@@ -12,7 +12,6 @@ from ..operators import costs as C
 from ..operators import geometry as G
 from ..operators import graphs as R
 from ..operators import joins as J
-from ..operators import kernels as K
 from ..operators import matching as M
 from ..operators import ontology as O
 from ..operators import semantics as S
@@ -338,7 +337,7 @@ def _distances(spark, d) -> DataFrame:
 
 
 def _knn(spark, d, k: int = 5) -> DataFrame:
-    return materialise(G.nearest(_distances(spark, d), k), "knn")
+    return materialise(G.nearest_vectors(embedded(spark, d), k), "knn")
 
 
 @query(f"WITH {KNN} SELECT i, j, round(d, 6) AS d FROM knn")
@@ -386,7 +385,7 @@ def mst_connect(spark, d):
     return rounded(R.spanning_links(e, materialise(_distances(spark, d), "distances"), _links(spark, d)), "d")
 
 
-@query()
+@query(f"WITH RECURSIVE {MUTUAL}, way AS (SELECT DISTINCT i, i AS j, 0.0::DOUBLE AS d, [i] AS seen FROM links UNION ALL SELECT w.i, l.j, w.d + l.d, list_append(seen, l.j) FROM way w JOIN links l ON l.i = w.j WHERE NOT list_contains(seen, l.j)) SELECT i, j, round(min(d), 6) AS d FROM way GROUP BY i, j")
 def geodesic(spark, d):
     links = _links(spark, d)
     return rounded(R.geodesics(links, links.select("i").distinct()), "d")
@@ -511,7 +510,9 @@ def rank_error(spark, d):
 
 
 QUANTILES = [0.9, 0.95, 0.99]
-QSQL = ", cut AS (SELECT q, quantile_cont(1 - cost, q) AS cut FROM jaccard, (VALUES (0.9::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) v(q) GROUP BY q), hit AS (SELECT q, i, j FROM jaccard JOIN cut ON 1 - cost > cut)"
+
+
+CUTS = ", v AS (SELECT i, j, round(1 - cost, 9) AS v FROM jaccard), cut AS (SELECT unnest([0.9, 0.95, 0.99]::DOUBLE[]) AS q, unnest(list_transform(quantile_cont(v, [0.9, 0.95, 0.99]), lambda x: round(x, 9))) AS cut FROM v), hit AS (SELECT q AS quantile, i, j FROM v JOIN cut ON v > cut)"
 
 
 def _over(spark, d) -> DataFrame:
@@ -519,13 +520,13 @@ def _over(spark, d) -> DataFrame:
     return M.above_quantiles(sim, QUANTILES)
 
 
-@query()  # a rank below a quantile that falls on a cell is decided by the last bit of a double: compared in the tests on exact values
+@query(sql(*PAIRS, "jaccard", select=CUTS + " SELECT quantile, j AS target, string_agg(i, ',' ORDER BY i) AS sources FROM hit GROUP BY 1, 2"))
 def quantile_associations(spark, d):
     found = _over(spark, d).groupBy("quantile", F.col("j").alias("target"))
     return found.agg(F.array_join(F.array_sort(F.collect_list("i")), ",").alias("sources"))
 
 
-@query()
+@query(sql(*PAIRS, "jaccard", select=CUTS + ", t AS (SELECT i AS target, q AS quantile FROM jaccard, (VALUES (0.9::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) x(q) WHERE i = j), h AS (SELECT quantile, j AS target, count(*) AS n, count(*) FILTER (i = j) AS hits FROM hit GROUP BY 1, 2) SELECT quantile, target, coalesce(hits, 0)::DOUBLE AS recall, round(coalesce(hits / n, 0), 6) AS precision FROM t LEFT JOIN h USING (quantile, target)"))
 def recall_precision(spark, d):
     found = _over(spark, d).groupBy("quantile", F.col("j").alias("target")).agg(F.collect_list("i").alias("sources"))
     truth = truth_of(profile(spark, d)).groupBy(F.col("j").alias("target")).agg(F.collect_list("i").alias("true_sources"))
@@ -815,18 +816,15 @@ def laplacian_gradient(spark, d):
     return rounded(T.laplacian_gradient(cost.select("i", "j", (1.0 / n * (1 + F.col("cost"))).alias("mass")), s), "g", digits=9).withColumn("g", F.col("g") + 0.0)
 
 
-def _grid(spark, d):
-    """The brands' cost matrix: its sides are the number of brands, whatever the scale."""
-    rows = C.cost(part_profile(spark, d)).toPandas()
-    return rows.pivot(index="i", columns="j", values="cost").sort_index().sort_index(axis=1)
+def _cells(spark, d) -> DataFrame:
+    """`(cell, i, j, cost)`: the brands' costs for each share of Hamming against Jaccard."""
+    p = part_profile(spark, d)
+    return materialise(C.composed(C.cost(p, "hamming"), C.cost(p), [0.2, 0.4, 0.6, 0.8]).withColumnRenamed("a", "cell"), "cells")
 
 
 @query()
 def emd(spark, d):
-    grid = _grid(spark, d)
-    plan, total = K.emd(grid.to_numpy())
-    rows = [(str(i), str(j), round(float(plan[a, b]), 9), round(total, 6)) for a, i in enumerate(grid.index) for b, j in enumerate(grid.columns) if plan[a, b] > 0]
-    return spark.createDataFrame(rows, "i string, j string, mass double, total double")
+    return rounded(rounded(T.by_cell(_cells(spark, d), "emd"), "total"), "mass", digits=9)
 
 
 @query()
@@ -843,18 +841,14 @@ def wasserstein_pairs(spark, d):
 
 @query()
 def frlc(spark, d):
-    _, costs = K.low_rank(_grid(spark, d).to_numpy(), 8)
-    return spark.createDataFrame([(n, round(c, 6)) for n, c in enumerate(costs)], "round int, cost double")
+    """Low-rank plans, a problem for each cell."""
+    return rounded(T.by_cell(_cells(spark, d), "low_rank", rank=8).groupBy("cell").agg(F.sum("mass").alias("mass"), F.max("total").alias("total")), "mass", "total")
 
 
 @query()
 def fgw(spark, d):
-    import numpy as np
-
-    c = _grid(spark, d).to_numpy()
-    n, m = c.shape
-    plan, value = K.gromov(c @ c.T / m, c.T @ c / n, np.full(n, 1 / n), np.full(m, 1 / m), 0.05, c, 0.5)
-    return spark.createDataFrame([(int(n * m), round(value, 6), round(float(plan.sum()), 9))], "cells int, value double, mass double")
+    """Fused Gromov plans, a problem for each cell."""
+    return rounded(T.by_cell(_cells(spark, d), "gromov", eps=0.05, alpha=0.5).groupBy("cell").agg(F.sum("mass").alias("mass"), F.max("total").alias("total")), "mass", "total")
 
 
 @query()
@@ -862,7 +856,7 @@ def gcg(spark, d):
     p = part_profile(spark, d)
     own = p.where("db = 0")
     s = C.overlaps(own.union(own.select(F.lit(1), "entity", "term")), dense=False).where("i <> j").select("i", "j", (F.col("c") / 100.0).alias("s"))
-    return rounded(T.laplacian_plan(materialise(C.cost(p), "cost"), materialise(s, "s"), eps=0.1, eta=0.5, rounds=2, inner=4), "mass", digits=9)
+    return rounded(T.laplacian_plan(materialise(C.cost(p), "cost"), materialise(s, "s"), eps=0.1, eta=0.5), "mass", digits=9)
 
 
 # --- walks and training ---
@@ -891,8 +885,9 @@ def word2vec(spark, d):
 
     walks = R.random_walks(_graph(spark, d), walks=4, length=5)
     texts = walks.groupBy("walk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "node"))), lambda s: s["node"]).alias("words"))
-    model = Word2Vec(vectorSize=16, minCount=1, windowSize=3, maxIter=1, numPartitions=1, seed=1, inputCol="words", outputCol="v").fit(texts)
-    return model.getVectors().select(F.col("word").alias("term"))
+    parts = spark.sparkContext.defaultParallelism
+    model = Word2Vec(vectorSize=16, minCount=1, windowSize=3, maxIter=parts, numPartitions=parts, seed=1, inputCol="words", outputCol="v").fit(texts)
+    return model.getVectors().select(F.col("word").alias("term"), "vector")
 
 
 @query()

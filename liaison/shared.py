@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`; a local one is set only where the session has none, as in tests."""
+    """The folder named by `spark.checkpoint.dir`; a local one is set only where a local
+    session has none, as in tests. Off a local master an unset folder is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="liaison-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from liaison.functions import hyperbolic as H
-from liaison.operators import costs, geometry, graphs, kernels, matching, ontology, semantics, simulation, transport
+from liaison.operators import costs, geometry, graphs, kernels, matching, ontology, ranking, semantics, simulation, transport
 from liaison.operators.components import connected_components
 
 DIAMOND = [("d", "b"), ("d", "c"), ("b", "a"), ("c", "a")]
@@ -206,3 +206,49 @@ def test_tree_wasserstein(spark, diamond, profiles):
     up = ontology.closure(diamond).withColumn("n_paths", F.lit(1))
     # X = d: nodes d, b, c, a of mass 1; Y = b, c: b and c of 1/2, a of 1/2 + 1/2
     assert abs(costs.tree_wasserstein(profiles, up).first()["cost"] - (1 + 0.5 + 0.5 + 0)) < 1e-12
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
+    found = ranking.numbered(rows, F.col("x")).collect()
+    assert all(r["x"] == r["n"] for r in found) and len(found) == 1000
+
+
+def test_quantiles_and_order_statistics(spark):
+    x = np.random.default_rng(0).integers(0, 50, 777).astype(float)
+    rows = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double").repartition(5)
+    found = {r["quantile"]: r["cut"] for r in ranking.quantiles(rows, "v", [0.0, 0.333, 0.9, 1.0]).collect()}
+    assert all(abs(found[q] - np.quantile(x, q)) < 1e-8 for q in found) and len(found) == 4
+    assert ranking.quantiles(rows.where("v > 100"), "v", [0.5]).count() == 0
+
+
+def test_nearest_vectors_equal_nearest_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(geometry, "BLOCK", 40)
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(i, (rng.normal(0, 0.1, 4)).tolist()) for i in range(150)], "id long, vec array<double>")
+    one, two = ({(r["i"], r["j"]): r["d"] for r in x.collect()} for x in (geometry.nearest_vectors(rows, 3), geometry.nearest(geometry.pair_distances(rows, rows), 3)))
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-9 for k in one)
+
+
+def test_heights_are_longest_ways_and_cycles_are_errors(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("d", "c")], "child string, parent string")
+    assert {r["term"]: r["depth"] for r in ontology.heights(e).collect()} == {"a": 0, "d": 0, "b": 1, "c": 2}
+    bad = spark.createDataFrame([("x", "a"), ("a", "b"), ("b", "a")], "child string, parent string")
+    with pytest.raises(ValueError):
+        ontology.heights(bad)
+    with pytest.raises(ValueError):
+        ontology.path_counts(bad)
+
+
+def test_epsilon_sweep_nears_the_exact_plan(spark):
+    rng = np.random.default_rng(2)
+    costs = spark.createDataFrame([(f"i{a}", f"j{b}", float(rng.random())) for a in range(6) for b in range(6)], "i string, j string, cost double")
+    rows = sorted((r["eps"], r["gap"], r["excess_pct"]) for r in transport.epsilon_sweep(costs, [1.0, 0.2, 0.05]).collect())
+    assert rows[0][1] < rows[1][1] < rows[2][1] and -1e-6 < rows[0][2] < rows[1][2] < rows[2][2] and rows[0][2] < 5
+
+
+def test_empty_inputs(spark):
+    none = spark.createDataFrame([], "i string, j string, cost double")
+    assert matching.conformal(none.select(F.col("cost").alias("score")), 0.1).count() == 0
+    assert matching.above_quantiles(none.withColumnRenamed("cost", "value"), [0.5]).count() == 0
+    assert geometry.nearest_vectors(spark.createDataFrame([], "id long, vec array<double>"), 3).count() == 0
