@@ -57,14 +57,14 @@ def sum_arrays(df: DataFrame, keys: list[str], fan: int = 64) -> DataFrame:
     return df.groupBy(*keys).applyInPandas(add, f"{kinds}, packed binary")
 
 
-def looked_up(rows: DataFrame, table: DataFrame, key: str, share: int = 1000) -> DataFrame:
-    """`rows` joined with `table`, which has one row for each key. Keys on over a `share`-th of the rows, fewer than `share`
-    of them, are looked up in a broadcast, so no task gets all rows of a hot key; the others are shuffled."""
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    total = F.broadcast(rows.agg(F.count("*").alias("_total")))
-    hot = F.broadcast(materialise(counts.crossJoin(total).where(F.col("_n") * share > F.col("_total")).select(key), "hot_keys"))
-    often = rows.join(F.broadcast(table.join(hot, key, "left_semi")), key)
-    return often.unionByName(rows.join(hot, key, "left_anti").join(table, key))
+def looked_up(rows: DataFrame, table: DataFrame, key: str, n: str, total: int, share: int = 1000) -> DataFrame:
+    """`rows` joined with `table`, which has one row for each key and in column `n` how many of the `total` rows have it.
+
+    Keys on over a `share`-th of the rows, fewer than `share` of them, are looked up in a broadcast, so no task gets all rows
+    of a hot key; the others are shuffled."""
+    often = F.broadcast(materialise(table.where(F.col(n) > total / share), "often"))
+    seldom = rows.join(often.select(key), key, "left_anti").join(table.where(F.col(n) <= total / share), key)
+    return rows.join(often, key).unionByName(seldom).drop(n)
 
 
 def free_name(docs: DataFrame, name: str) -> str:

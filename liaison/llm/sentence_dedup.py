@@ -91,8 +91,9 @@ def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     kept = materialise(raw_text(ids, "id").mapInArrow(hashed, "id long, hash array<long>, again boolean"), "runs")
     spans = kept.select("id", F.explode("hash").alias("hash"))
-    low = spans.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("high > low").select("hash", "low")
-    later = looked_up(spans, low, "hash").where("id > low")
+    total = kept.agg(F.sum(F.size("hash"))).first()[0] or 0
+    low = spans.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("high > low")
+    later = looked_up(spans, materialise(low.select("hash", "low", "n"), "low"), "hash", "n", total).where("id > low")
     later = later.groupBy("id").agg(F.collect_set("hash").alias("hashes"), F.array_sort(F.collect_set("low")).alias("first_docs"))
     touched = later.union(kept.where("again").select("id", F.array().cast("array<long>"), F.array().cast("array<long>")))
     touched = touched.groupBy("id").agg(F.flatten(F.collect_list("hashes")).alias("hashes"), F.flatten(F.collect_list("first_docs")).alias("first_docs"))

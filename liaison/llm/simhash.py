@@ -167,12 +167,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts are hashed a part of their words at a time; other columns, whatever their names, are not read.
     """
     fps = materialise(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    distinct = materialise(fps.groupBy("fp").agg(F.min("id").alias("low")), "classes")
+    distinct = materialise(fps.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")), "classes")
     roots = connected_components(links(distinct), "a", "b")
-    tree = materialise(distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp"), "tree")
-    moved = looked_up(tree, tree.groupBy("root").agg(F.min("low").alias("component")), "root").select("fp", "component")
-    classes = materialise(distinct.join(moved, "fp", "left").select("fp", F.coalesce("component", "low").alias("component_id")), "classes")
-    return looked_up(fps, classes, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
+    tree = materialise(distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp").select("fp", "low", "root"), "tree")
+    lows = materialise(tree.groupBy("root").agg(F.min("low").alias("component"), F.count("*").alias("n")), "lows")
+    moved = looked_up(tree, lows, "root", "n", tree.count()).select("fp", "component")
+    classes = materialise(distinct.join(moved, "fp", "left").select("fp", F.coalesce("component", "low").alias("component_id"), "n"), "classes")
+    return looked_up(fps, classes, "fp", "n", fps.count()).select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

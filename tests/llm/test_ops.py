@@ -519,8 +519,8 @@ def test_unpunctuated_passages_are_found_at_any_offset(spark):
 
 def test_hot_keys_are_looked_up_in_a_broadcast(spark):
     rows = spark.range(5000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).alias("k"), "id")
-    table = rows.select("k").distinct().withColumn("v", F.col("k") * 2)
-    got = looked_up(rows, table, "k")
+    table = rows.groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k") * 2)
+    got = looked_up(rows, table, "k", "n", 5000)
     assert got.count() == 5000 and got.where("v <> 2 * k").count() == 0
 
 
