@@ -1,6 +1,6 @@
 """The queries of this package."""
 
-from . import decontamination, mixing, pii, pitman_yor, quality, sentence_dedup, simhash, token_output, toxicity, webp
+from . import decontamination, merkle, mixing, pii, pitman_yor, quality, sentence_dedup, simhash, token_output, toxicity, webp
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_ids": token_output.op10_token_ids,
+    "op11_merkle": merkle.op11_merkle,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op11_merkle": merkle.oracle(),
+}
