@@ -1,6 +1,6 @@
 """The queries of this package."""
 
-from . import decontamination, merkle, mixing, pii, pitman_yor, quality, sentence_dedup, simhash, token_output, toxicity, webp
+from . import byte_bpe, decontamination, merkle, mixing, pii, pitman_yor, quality, sentence_dedup, simhash, token_output, toxicity, vector_codes, webp
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -14,8 +14,11 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_ids": token_output.op10_token_ids,
     "op11_merkle": merkle.op11_merkle,
+    "op12_byte_bpe": byte_bpe.op12_byte_bpe,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op11_merkle": merkle.oracle(),
+    "op13_vector_codes": vector_codes.oracle(),
 }
