@@ -228,7 +228,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
 
         return made
 
-    return with_columns(docs, [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")], start, text_col)
+    return with_columns(docs, [(free_name(docs, n), k) for n, k in (("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"))], start, text_col)
 
 
 def op12_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -198,13 +198,13 @@ def forest(leaves: DataFrame, fanout: int = FANOUT) -> Forest:
     while most and (levels == 0 or fanout**levels < most):
         levels += 1
     nodes, carried = table.where("not piece").drop("piece"), None
-    for level in range(levels if more else 0):
+    for level in range(0 if table.where("piece").isEmpty() else levels):
         rows = table.where(F.col("piece") & (F.col("level") == level)).select("tree", "at", "digest", "ids", "now")
         rows = rows if carried is None else rows.unionByName(carried)
         run = F.array_sort(F.collect_list(F.struct("at", "digest", "ids", "now")))  # of a fanout at most
         rows = rows.groupBy("tree", F.floor(F.col("at") / fanout).alias("up")).agg(run.alias("run"))
         text = F.array_join(F.transform("run", lambda x: F.lower(F.hex(x["digest"]))), "")
-        own = [F.flatten(F.transform("run", lambda x, n=n: x[n])).alias(n) for n in ("ids", "now")]
+        own = [F.flatten(F.col(f"run.{n}")).alias(n) for n in ("ids", "now")]
         merged = rows.select("tree", F.lit(level).alias("level"), F.col("up").alias("at"), F.unhex(F.sha2(text, 256)).alias("digest"), F.unhex(text).alias("run"), *own)
         merged = materialise(merged, "merged")
         nodes = nodes.unionByName(merged)
