@@ -731,24 +731,6 @@ def noise_flip(spark, d):
     return X.flip(p.where("db = 0"), p.select("term").distinct(), 0.1)
 
 
-@query()
-def simulation_grid(spark, d):
-    """Composites of catalogue 0's entities matched to their sources: accuracy for each overlap and noise."""
-    p = part_profile(spark, d).where("db = 0")
-    terms = materialise(p.select("term").distinct(), "terms")
-    out = None
-    for overlap in (0.25, 0.5):
-        targets = materialise(X.simulate(p.select("entity"), 4, 3, overlap), "targets")
-        own = X.composite_profile(targets, p)
-        for noise in (0.0, 0.1):
-            noisy = X.flip(materialise(own, "own"), terms, noise)
-            both = p.select(F.lit(0).alias("db"), "entity", "term").union(noisy.select(F.lit(1), "entity", "term"))
-            ranks = M.ranked(C.cost(both).select(F.col("j").alias("i"), F.col("i").alias("j"), "cost")).join(targets.select(F.col("target").alias("i"), F.col("source").alias("j")), ["i", "j"], "left_semi")
-            rows = ranks.agg(F.count("*").alias("n"), F.round(F.avg((F.col("rank") <= 3).cast("double")), 6).alias("recall_3")).select(F.lit(overlap).alias("overlap"), F.lit(noise).alias("noise"), "n", "recall_3")
-            out = rows if out is None else out.union(rows)
-    return out
-
-
 @query(sql(*PAIRS, "jaccard", select=""", s AS (SELECT cost AS score, row_number() OVER (ORDER BY cost) - 1 AS r FROM jaccard WHERE i = j), z AS (SELECT count(*) AS n, least(1.0, ceil((count(*) + 1) * 0.9::DOUBLE) / count(*)) AS level FROM s)
     SELECT n, round(level, 9) AS level, round(min(score) + (max(score) - min(score)) * (level * (n - 1) - floor(level * (n - 1))), 6) AS threshold FROM s, z WHERE r IN (floor(level * (n - 1)), ceil(level * (n - 1))) GROUP BY n, level"""))
 def conformal_thresholds(spark, d):
