@@ -164,7 +164,7 @@ class Forest:
                 step = F.struct((F.col("at") % self.fanout).cast("int").alias("pos"), F.col("_run").alias("run"))
                 rest = own.withColumn("_up", F.floor(F.col("at") / self.fanout)).join(up, ["tree", "_up"])
                 here = here.unionByName(rest.select(*own.columns, "top", F.lit(False).alias("lone"), F.concat(F.array(step), "path").alias("path")))
-            found = here
+            found = materialise(here, "paths") if level else here  # else the plan holds the joins of all levels
         return found.drop("at") if found is not None else self.nodes.select("tree", "run", "ids", "now", F.lit(None).cast("boolean").alias("lone"), F.col("digest").alias("top"), F.lit(None).cast("array<struct<pos int, run binary>>").alias("path")).limit(0)
 
 
@@ -230,6 +230,7 @@ class Manifest:
         top = self.over.paths(spark.createDataFrame([("", [])], "tree string, path array<struct<pos int, run binary>>"))
         own = F.when(F.col("lone"), nothing).otherwise(F.array(F.struct(F.col("pos"), F.col("run"))))
         above = top.select("run", "lone", "path", F.posexplode("ids").alias("pos", "key")).select(F.col("key").alias("tree"), F.concat(own, "path").alias("path"))
+        above = materialise(above, "above")
         schema = _fields(**{id_name: kind}, leaf="string", subroot="string", root="string", proof_sha256="string", folded_root="string", verified="boolean")
         names = schema.names
 
