@@ -41,7 +41,8 @@ def support_blocks(profile: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def batch_sinkhorn(costs: np.ndarray, a: np.ndarray, b: np.ndarray, eps: float, rounds: int) -> np.ndarray:
     """Transport costs of problems `(p, n, m)` with weights `(p, n)` and `(p, m)`, all at once: so many rounds of scalings from
-    ones, with 1e-9 added to what is divided by."""
+    ones, with 1e-9 added to what is divided by. Where all of an entry's costs are over 20 eps its kernel falls under that, and mass
+    is lost: distances should be scaled to `eps`, or `eps` to them."""
     kernel = np.exp(-costs / eps)
     u, v = np.ones_like(a), np.ones_like(b)
     for _ in range(rounds):
