@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from liaison.operators import kernels as K
 from liaison.operators import linear as L
 from liaison.operators import neighbours as N
+from liaison.operators import two_sided as Z
 from liaison.operators import wasserstein as V
 from liaison.operators.graphs import spanning_links
 
@@ -177,3 +178,35 @@ def test_features_against_numpy(spark):
     with pytest.raises(ValueError, match="dimensions"):
         L.principal_components(df, 2, most=5)
     assert L.principal_components(df.limit(0), 2)[0].count() == 0
+
+
+# --- transport that keeps both sides ---
+
+
+def test_two_sided_plan_falls(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 4)
+    n, m, p = 7, 6, 4
+    xs, xt, cost = rng.random((n, p)), rng.random((m, p)), rng.random((n, m))
+    ss, st = (x @ x.T for x in (xs, xt))
+    cells = lambda x: spark.createDataFrame([(i, j, float(x[i, j])) for i in range(x.shape[0]) for j in range(x.shape[1])], "i long, j long, x double")
+    sides = Z.TwoSided.of(*(cells(x) for x in (xs, xt, ss, st)), alpha=0.3)
+    lap = lambda s: np.diag(s.sum(axis=1)) - s
+    term = lambda g: 0.3 * np.trace(xt.T @ g.T @ lap(ss) @ g @ xt) + 0.7 * np.trace(xs.T @ g @ lap(st) @ g.T @ xs)
+    g = rng.random((n, m))
+    found, value = sides.gradient(cells(g))
+    got = np.zeros((n, m))
+    for r in found.collect():
+        got[r["i"], r["j"]] = r["x"]
+    assert value == pytest.approx(term(g))
+    assert np.allclose(got, 0.6 * lap(ss) @ g @ xt @ xt.T + 1.4 * xs @ xs.T @ g @ lap(st))
+    plan, scores = Z.two_sided_plan(cells(cost).withColumnRenamed("x", "cost"), sides, 0.1, 0.3, tolerance=2e-3)
+    own = np.zeros((n, m))
+    for r in plan.collect():
+        own[r["i"], r["j"]] = r["mass"]
+    assert all(a >= b for a, b in zip(scores, scores[1:])) and scores[-1] < scores[0]
+    assert np.abs(own.sum(axis=1) - 1 / n).max() < 1e-8 and np.abs(own.sum(axis=0) - 1 / m).max() < 1e-8
+    start = K.log_sinkhorn(cost, np.full(n, 1 / n), np.full(m, 1 / m), 0.1, rounds=5000)[0]
+    weight = 0.3 * (cost * start).sum() / term(start)
+    whole = lambda g: (cost * g).sum() + 0.1 * (g * np.log(g)).sum() + weight * term(g)
+    assert scores[-1] == pytest.approx(whole(own), abs=1e-9)
+    assert whole(own) < whole(start)
