@@ -838,7 +838,8 @@ def gcg(spark, d):
     p = part_profile(spark, d)
     own = p.where("db = 0")
     s = C.overlaps(own.union(own.select(F.lit(1), "entity", "term")), dense=False).where("i <> j").select("i", "j", (F.col("c") / 100.0).alias("s"))
-    return rounded(T.laplacian_plan(materialise(C.cost(p), "cost"), materialise(s, "s"), eps=0.1, eta=0.5), "mass", digits=9)
+    one = lambda x: materialise(x.withColumn("cell", F.lit(0)), "cell")
+    return rounded(T.cell_laplacian(one(C.cost(p)), one(s), ["cell"], eps=0.1, eta=0.5).drop("cell"), "mass", digits=9)
 
 
 # --- walks and training ---
