@@ -113,6 +113,17 @@ def binary_report(rows: DataFrame, score: str, label: str, cut: float) -> DataFr
                        F.try_divide(F.col("auc"), F.col("pos") * neg).alias("roc_auc"), F.try_divide(F.col("ap"), F.col("pos")).alias("average_precision"))
 
 
+def precision_threshold(rows: DataFrame, score: str, label: str, target: float) -> DataFrame:
+    """One row `(threshold, precision, recall)`: the least score, to six decimals, from which on at least a share `target` of the
+    rows have `label` 1; none if no score has that. Counts by score are what is ordered, not rows."""
+    counts = rows.groupBy(F.round(score, 6).alias("s")).agg(F.sum(label).cast("long").alias("p"), F.count("*").alias("n"))
+    down = W.orderBy(F.desc("s"))  # of scores to six decimals
+    runs = counts.withColumns({"tp": F.sum("p").over(down), "all": F.sum("n").over(down)}).where(F.col("tp") >= target * F.col("all"))
+    total = F.broadcast(counts.agg(F.sum("p").alias("pos")))  # one row
+    least = runs.agg(F.min(F.struct("s", "tp", "all")).alias("x")).where("x is not null").crossJoin(total)
+    return least.select(F.col("x.s").alias("threshold"), (F.col("x.tp") / F.col("x.all")).alias("precision"), F.try_divide(F.col("x.tp"), F.col("pos")).alias("recall"))
+
+
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column, Column]:
     """Share, lower and upper bound of the Wilson interval; null where n is 0."""
     p = F.try_divide(hits.cast("double"), n)

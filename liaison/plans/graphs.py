@@ -199,6 +199,13 @@ def match_report(spark, d):
     return rounded(M.binary_report(rows, "s", "y", 0.2), "accuracy", "precision", "recall", "roc_auc", "average_precision")
 
 
+@query(sql(*PAIRS, "jaccard", select=", t AS (SELECT round(round(1 - cost, 9), 6) AS s, CAST(i = j AS INTEGER) AS y FROM jaccard), g AS (SELECT s, sum(y) AS p, count(*) AS n FROM t GROUP BY 1), r AS (SELECT s, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS al, sum(p) OVER () AS pos FROM g) SELECT s AS threshold, round(tp / al, 6) AS precision, round(tp / nullif(pos, 0), 6) AS recall FROM r WHERE tp >= 0.02::DOUBLE * al ORDER BY s LIMIT 1"))
+def precision_threshold(spark, d):
+    """The least similarity from which on a fiftieth of the pairs are true."""
+    rows = C.cost(profile(spark, d)).select(F.round(1 - F.col("cost"), 9).alias("s"), (F.col("i") == F.col("j")).cast("long").alias("y"))
+    return rounded(M.precision_threshold(rows, "s", "y", 0.02), "threshold", "precision", "recall")
+
+
 @query(sql(*PAIRS, "jaccard", select=", t AS (SELECT i, j, round(cost, 9) AS v, md5(i) < '33' AS held FROM jaccard), h AS (SELECT v, row_number() OVER (ORDER BY v) AS r, count(*) OVER () AS n FROM t WHERE held AND i = j), c AS (SELECT v AS threshold FROM h WHERE r = greatest(1, least(n, ceil((n + 1) * 0.9::DOUBLE)))), z AS (SELECT i, count(*) AS size FROM t, c WHERE NOT held AND v <= threshold GROUP BY 1) SELECT round(threshold, 6) AS threshold, count(*) AS n, round(avg(CAST(v <= threshold AS INTEGER)), 6) AS coverage, round(avg(coalesce(size, 0)), 6) AS mean_size FROM t JOIN c ON true LEFT JOIN z ON z.i = t.i WHERE NOT held AND t.i = j GROUP BY threshold"))
 def prediction_sets(spark, d):
     p = profile(spark, d)

@@ -878,6 +878,7 @@ def confidence_classifier(spark, d):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
 
     p = profile(spark, d)
     sim = C.cost(p).select("i", "j", F.exp(-F.col("cost") / 0.05).alias("mass"))
@@ -887,7 +888,11 @@ def confidence_classifier(spark, d):
     held = F.md5(F.col("i").cast("string")) < "4c"  # three tenths are only scored
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(raw.where(~held))
     model = LogisticRegression(regParam=0.01, maxIter=50).fit(scaler.transform(raw.where(~held)))
-    scored = materialise(model.transform(scaler.transform(raw.where(held))).select("label", "prediction", "rawPrediction"), "scored")
+    scored = materialise(model.transform(scaler.transform(raw.where(held))).select("label", "prediction", "rawPrediction", "probability"), "scored")
     auc = BinaryClassificationEvaluator().evaluate(scored)
     right = scored.agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"))
-    return right.select("n", F.lit(round(auc, 6)).alias("auc"), F.round("accuracy", 6).alias("accuracy"))
+    chance = materialise(scored.select(vector_to_array("probability")[1].alias("s"), F.col("label").cast("long").alias("y")), "chance")
+    report = M.binary_report(chance, "s", "y", 0.5).select(F.round("average_precision", 6).alias("average_precision"))  # one row, as the next
+    sure = M.precision_threshold(chance, "s", "y", 0.9).select(F.round("threshold", 6).alias("threshold_90"), F.round("recall", 6).alias("recall_90"))
+    both = right.crossJoin(F.broadcast(report)).join(F.broadcast(sure), F.lit(True), "left")
+    return both.select("n", F.lit(round(auc, 6)).alias("auc"), F.round("accuracy", 6).alias("accuracy"), "average_precision", "threshold_90", "recall_90")
