@@ -137,3 +137,25 @@ def lorentz_from_poincare(u: Column) -> Column:
     """The point of the hyperboloid, time first."""
     uu = dot(u, u)
     return F.concat(F.array((1 + uu) / (1 - uu)), scaled(u, 2 / (1 - uu)))
+
+
+def lorentz_logmap(p: Column, q: Column) -> Column:
+    """The tangent vector at p of the hyperboloid whose exponential is q: of length the distance, in the direction of q + <p, q> p.
+    Equal points give zero."""
+
+    def made(cosh: Column) -> Column:
+        rest = F.sqrt(cosh * cosh - 1)
+        return F.zip_with(q, p, lambda y, x: F.when(rest > LEAST, F.acosh(cosh) / rest).otherwise(1.0) * (y - cosh * x))
+
+    return let(F.greatest(F.lit(1.0), -lorentz_product(p, q)), made)
+
+
+def lorentz_expmap(p: Column, u: Column) -> Column:
+    """cosh(n) p + sinh(n) / n u, n the length of the tangent vector u at p."""
+    n = let(F.sqrt(F.greatest(lorentz_product(u, u), F.lit(0.0))), lambda n: F.array(F.cosh(n), F.when(n > LEAST, F.sinh(n) / n).otherwise(1.0)))
+    return let(n, lambda n: F.zip_with(p, u, lambda x, y: F.element_at(n, 1) * x + F.element_at(n, 2) * y))
+
+
+def lorentz_transported(v: Column, p: Column, q: Column) -> Column:
+    """The tangent vector v at p carried to q along the geodesic: v + <q, v> / (1 - <p, q>) (p + q)."""
+    return let(lorentz_product(q, v) / (1 - lorentz_product(p, q)), lambda k: F.zip_with(v, added(p, q), lambda x, y: x + k * y))

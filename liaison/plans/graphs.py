@@ -182,6 +182,20 @@ def hyperbolic_maps(spark, d):
     )
 
 
+@query(f"""WITH {EMB}, p AS (SELECT a.id, {_dots('a.vec', 'b.vec')} FROM emb a JOIN emb b ON b.id = a.id + 1),
+    h AS (SELECT id, vv, (1 + uu) / (1 - uu) AS x, (1 + vv) / (1 - vv) AS y, greatest(1, ((1 + uu) * (1 + vv) - 4 * uv) / ((1 - uu) * (1 - vv))) AS c FROM p), k AS (SELECT *, CASE WHEN sqrt(c * c - 1) > 1e-10 THEN acosh(c) / sqrt(c * c - 1) ELSE 1 END AS k FROM h)
+    SELECT id, round(k * (y - c * x), 5) + 0.0 AS toward, round(y, 5) AS there, round(-k * (x - c * y), 5) + 0.0 AS carried, round(sqrt(vv), 6) AS norm FROM k""")
+def lorentz_maps(spark, d):
+    """Each vector x with its successor y on the hyperboloid, the times of: the tangent vector at x that leads to y, the point it
+    leads to, and that vector carried to y; and the length of y back in the ball."""
+    e = materialise(embedded(spark, d).select("id", H.lorentz_from_poincare(F.col("vec")).alias("x")), "lifted")
+    x, y, u = F.col("x"), F.col("y"), F.col("u")
+    rows = e.join(e.select((F.col("id") - 1).alias("id"), F.col("x").alias("y")), "id")
+    rows = materialise(rows.withColumn("u", H.lorentz_logmap(x, y)), "tangents")
+    time = lambda v: F.round(F.element_at(v, 1), 5) + 0.0
+    return rows.select("id", time(u).alias("toward"), time(H.lorentz_expmap(x, u)).alias("there"), time(H.lorentz_transported(u, x, y)).alias("carried"), F.round(H.norm(H.lorentz_to_poincare(y)), 6).alias("norm"))
+
+
 # --- evaluation ---
 
 

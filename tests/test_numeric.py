@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from liaison.functions import hyperbolic as H
 from liaison.operators import kernels as K
 from liaison.operators import linear as L
 from liaison.operators import neighbours as N
@@ -210,3 +211,20 @@ def test_two_sided_plan_falls(spark, monkeypatch):
     whole = lambda g: (cost * g).sum() + 0.1 * (g * np.log(g)).sum() + weight * term(g)
     assert scores[-1] == pytest.approx(whole(own), abs=1e-9)
     assert whole(own) < whole(start)
+
+
+# --- the hyperboloid ---
+
+
+def test_hyperboloid_maps(spark):
+    """A tangent vector's exponential is the point it was made for, equal points too; carried, it keeps its length and is tangent."""
+    x = ball(20)
+    rows = [(a.tolist(), b.tolist()) for a, b in zip(x[:10], x[10:])] + [(x[0].tolist(), x[0].tolist())]
+    df = spark.createDataFrame(rows, "a array<double>, b array<double>").select(H.lorentz_from_poincare(F.col("a")).alias("p"), H.lorentz_from_poincare(F.col("b")).alias("q"))
+    df = df.withColumn("u", H.lorentz_logmap(F.col("p"), F.col("q"))).withColumn("v", H.lorentz_transported(F.col("u"), F.col("p"), F.col("q")))
+    for r in df.withColumn("e", H.lorentz_expmap(F.col("p"), F.col("u"))).collect():
+        p, q, u, v, e = (np.array(r[n]) for n in "pquve")
+        product = lambda s, t: s @ t - 2 * s[0] * t[0]
+        assert np.allclose(e, q) and abs(product(p, u)) < 1e-8 and abs(product(q, v)) < 1e-8
+        assert product(u, u) == pytest.approx(product(v, v), abs=1e-8)
+        assert np.sqrt(max(product(u, u), 0)) == pytest.approx(np.arccosh(max(1, -product(p, q))), abs=1e-6)
