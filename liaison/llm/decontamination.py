@@ -7,6 +7,7 @@ an index at once, so no cursors are walked one by one, which took six times the
 from __future__ import annotations
 
 import math
+import string
 from collections import Counter
 
 import numpy as np
@@ -14,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import materialise
 from .common import column, free_name, raw_text, with_columns, words_of
 
 #: A passage is WINDOW words, one every half window; an item is retrieved at THRESHOLD of its own score and confirmed when
@@ -24,7 +26,8 @@ K1, B = 1.2, 0.75
 #: Items of an index and of a block, bytes of an index's items. A larger benchmark is taken in several indexes, so many of them
 #: in one pass over the corpus.
 INDEX_ITEMS, INDEX_BYTES, BLOCK, AT_ONCE = 1024, 4 << 20, 32, 8
-SIGNS = b".,;:!?\"'()[]"
+#: Signs that a term does not have at its ends, however many there are: index, search and overlap share this one definition.
+SIGNS = string.punctuation.encode()
 
 
 def terms_of(text: bytes) -> list[bytes]:
@@ -51,8 +54,6 @@ class Index:
         self.parts = [parts_of(t) for _, t in self.items]
         self.strides = [-(-len(terms_of(t)) // (WINDOW // 2)) for _, t in self.items]
         self.ids = {w: k for k, w in enumerate(sorted({w for _, t in self.items for w in terms_of(t)}))}
-        self.words = {v: k for w, k in self.ids.items() for v in (w, *(w + bytes([s]) for s in b".,;:!?"))}
-        self.words |= {w: self.ids[t] for _, x in self.items for w, t in zip(words_of(x), terms_of(x))}
         blocks = -(-len(self.items) // BLOCK)
         self.block_max = np.zeros((len(self.ids), blocks), np.float32)
         self.blocks = []
@@ -79,10 +80,10 @@ class Index:
 
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int, float]]:
         """`(text, window, item, score)` of all windows and items that reach the threshold."""
-        half, get = WINDOW // 2, self.words.get
+        half, get = WINDOW // 2, self.ids.get
         windows, terms, base, starts = [], [], 0, []
         for t in texts:
-            own = np.array([get(w, -1) for w in words_of(t)], np.int64)
+            own = np.array([get(w, -1) for w in terms_of(t)], np.int64)
             chunks = -(-len(own) // half)
             at = np.flatnonzero(own >= 0)
             chunk, last = at // half, max(chunks - 2, 0)
@@ -185,7 +186,7 @@ class Index:
 
 def indexes(benchmark: DataFrame):
     """Lists of AT_ONCE indexes at most, one list at a time, each index of at most about INDEX_ITEMS items; term counts and lengths are those of the whole benchmark."""
-    rows = raw_text(benchmark.where("item_id is not null"), "item_id").dropDuplicates()
+    rows = materialise(raw_text(benchmark.where("item_id is not null"), "item_id").dropDuplicates(), "items")
     total = rows.agg(F.count("*").alias("n"), F.sum(F.length("_text")).alias("b")).first()
     if not total["n"]:
         return
@@ -197,6 +198,7 @@ def indexes(benchmark: DataFrame):
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64()))], ["term", "df", "length"])
 
     counts = rows.mapInArrow(counted, "term binary, df long, length long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("length").alias("length"))
+    counts = materialise(counts, "item_terms")  # each index looks its terms up in it
     whole = counts.where(F.length("term") == 0).first()
     n = max(1, math.ceil(total["n"] / INDEX_ITEMS), math.ceil(total["b"] / INDEX_BYTES))
     out = []

@@ -586,6 +586,25 @@ def test_copies_of_long_items_are_found_at_every_offset(size):
     assert not index.confirmed([" ".join([*filler, *x, *filler]).encode() for x in (half, mixed, apart)])
 
 
+@pytest.mark.parametrize("before, after", [("", ""), ('"', '"'), ('["', '",'), ("[", "]"), ("(", ")"), ("", "..."), ("'", "'?!"), ("**", "**"), ("`", "`;"), ("{", "}"), ("<", ">")])
+def test_items_whose_words_bear_signs_are_found(before, after):
+    """However each word is quoted, bracketed or ended, in the passage or in the item, short items and long ones."""
+    rng = random.Random(3)
+    short, long = ([f"w{rng.randrange(300)}" for _ in range(n)] for n in (40, 150))
+    short[25] += "?"
+    other = " ".join(f"x{i}" for i in range(30)).encode()
+    signed = lambda words: " ".join(before + w + after for w in words)
+    filler = " ".join(f"f{rng.randrange(500)}" for _ in range(200))
+    for words in (short, long):
+        for item, copy in ((" ".join(words), signed(words)), (signed(words), " ".join(words))):
+            items = [(7, item.encode()), (8, other)]
+            df = collections.Counter(w for _, t in items for w in set(decontamination.terms_of(t)))
+            index = decontamination.Index(items, df, 2, (len(words) + 30) / 2)
+            found = index.confirmed([f"{filler} {copy} {filler}".encode(), filler.encode()])
+            assert [(d, k) for d, k, *_ in found] == [(0, 7)]
+            assert found[0][2] > 0.99 and found[0][3] > 0.9
+
+
 # --- mixing ---
 
 
