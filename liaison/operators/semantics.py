@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,24 +23,51 @@ def resnik_terms(left: DataFrame, right: DataFrame, up_self: DataFrame, weights:
     return a.join(b, "ancestor").groupBy("t1", "t2").agg(F.max("ic").alias("sim"))
 
 
-def resnik_dissimilarity(profile: DataFrame, terms: DataFrame, mode: str = "bma") -> DataFrame:
-    """`(i, j, score)` of catalogue 0 against 1, from term dissimilarities exp(-sim); each term's best match counts.
+def resnik_dissimilarity(profile: DataFrame, terms: DataFrame, mode: str = "bma", entities: DataFrame | None = None) -> DataFrame:
+    """`(i, j, score)` of catalogue 0 against 1 from dissimilarities exp(-sim) of their terms, 1 where `terms(t1, t2, sim)` has
+    no row: low is alike, and a term's best match is its least.
 
-    Modes: `sum` and `mean` over all pairs; `bma` (mean of all best matches), `max` (the largest best match), `funSimAvg` and
-    `funSimMax` (mean and larger of both directions' means)."""
-    a = profile.where("db = 0").select(F.col("entity").alias("i"), F.col("term").alias("t1"))
-    b = profile.where("db = 1").select(F.col("entity").alias("j"), F.col("term").alias("t2"))
-    rows = a.join(terms, "t1").join(b, "t2").select("i", "j", "t1", "t2", F.exp(-F.col("sim")).alias("m"))
-    if mode in ("sum", "mean"):
-        return rows.groupBy("i", "j").agg((F.sum if mode == "sum" else F.avg)("m").alias("score"))
-    one = rows.groupBy("i", "j", "t1").agg(F.min("m").alias("m")).groupBy("i", "j").agg(F.sum("m").alias("s1"), F.count("*").alias("n1"), F.max("m").alias("x1"))
-    two = rows.groupBy("i", "j", "t2").agg(F.min("m").alias("m")).groupBy("i", "j").agg(F.sum("m").alias("s2"), F.count("*").alias("n2"), F.max("m").alias("x2"))
-    left, right = F.col("s1") / F.col("n1"), F.col("s2") / F.col("n2")
-    score: dict[str, Column] = {
-        "bma": (F.col("s1") + F.col("s2")) / (F.col("n1") + F.col("n2")), "funSimAvg": (left + right) / 2,
-        "funSimMax": F.greatest(left, right), "max": F.greatest("x1", "x2"),
+    Modes: `sum` and `mean` over all pairs of terms, `max` the best match of all, `bma` the mean of the best matches of all
+    terms, `funSimAvg` and `funSimMax` the mean and the better of both directions' means. Pairs of which no terms are in
+    `terms` are left out; with `entities(db, entity)` every pair has a row, and to an entity without terms every term is twice
+    the largest dissimilarity away (`sum` and `mean`: 0; `bma` of two such entities: null)."""
+    own = profile.select("db", "entity", "term").distinct()
+    a = own.where("db = 0").select(F.col("entity").alias("i"), F.col("term").alias("t1"))
+    b = own.where("db = 1").select(F.col("entity").alias("j"), F.col("term").alias("t2"))
+    near = terms.select("t1", "t2", F.exp(-F.col("sim")).alias("m"))
+    rows = a.join(near, "t1").join(b, "t2").select("i", "j", "t1", "t2", "m")
+    found = rows.groupBy("i", "j").agg(F.sum("m").alias("sum"), F.count("*").alias("c"), F.min("m").alias("least"))
+    if mode not in ("sum", "mean", "max"):
+        for t, k in (("t1", 1), ("t2", 2)):
+            best = rows.groupBy("i", "j", t).agg(F.min("m").alias("m"))
+            found = found.join(best.groupBy("i", "j").agg(F.sum("m").alias(f"s{k}"), F.count("*").alias(f"c{k}")), ["i", "j"])
+    n1, n2 = a.groupBy("i").agg(F.count("*").alias("n1")), b.groupBy("j").agg(F.count("*").alias("n2"))
+    if entities is None:
+        found = found.join(n1, "i").join(n2, "j")
+    else:
+        known = entities.select("db", "entity").distinct()
+        left = known.where("db = 0").select(F.col("entity").alias("i")).join(n1, "i", "left")
+        right = known.where("db = 1").select(F.col("entity").alias("j")).join(n2, "j", "left")
+        found = left.crossJoin(right).join(found, ["i", "j"], "left").fillna(0)  # the result has a row for each pair
+        found = found.withColumn("least", F.when(F.col("c") > 0, F.col("least")))
+    sizes = a.select("t1").distinct().agg(F.count("*").alias("t1s")).crossJoin(b.select("t2").distinct().agg(F.count("*").alias("t2s")))  # one row each
+    listed = near.join(a.select("t1").distinct(), "t1", "left_semi").join(b.select("t2").distinct(), "t2", "left_semi")
+    far = listed.agg(F.count("*").alias("listed"), F.max("m").alias("far")).crossJoin(sizes)
+    far = far.select((2 * F.when(F.col("listed") < F.col("t1s") * F.col("t2s"), 1.0).otherwise(F.coalesce("far", F.lit(1.0)))).alias("far"))
+    found = found.crossJoin(F.broadcast(far))  # one row
+    n1, n2, none = F.col("n1"), F.col("n2"), (F.col("n1") == 0) | (F.col("n2") == 0)
+    total = F.col("sum") + n1 * n2 - F.col("c")
+    one = lambda k, n: F.when(none, n * F.col("far")).otherwise(F.col(f"s{k}") + n - F.col(f"c{k}"))
+    mean = lambda k, n: one(k, n) / F.greatest(n, F.lit(1))
+    score = {
+        "sum": lambda: total,
+        "mean": lambda: total / F.greatest(n1 * n2, F.lit(1)),
+        "max": lambda: F.when(none, F.col("far")).otherwise(F.least(F.coalesce("least", F.lit(1.0)), F.lit(1.0))),
+        "bma": lambda: F.try_divide(one(1, n1) + one(2, n2), n1 + n2),
+        "funSimAvg": lambda: (mean(1, n1) + mean(2, n2)) / 2,
+        "funSimMax": lambda: F.least(mean(1, n1), mean(2, n2)),
     }
-    return one.join(two, ["i", "j"]).select("i", "j", score[mode].alias("score"))
+    return found.select("i", "j", score[mode]().cast("double").alias("score"))
 
 
 def tf_idf(names: DataFrame, sizes: tuple[int, int] = (3, 5)) -> DataFrame:

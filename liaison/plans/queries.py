@@ -25,11 +25,11 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(oracle: str | None = None):
+def query(oracle: str | None = None, name: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if oracle:
-            ORACLE_SQL[f.__name__] = oracle
+            ORACLE_SQL[name or f.__name__] = oracle
         return f
 
     return add
@@ -207,14 +207,24 @@ def resnik_terms(spark, d):
     return rounded(_resnik(spark, d), "sim").withColumn("sim", F.col("sim") + 0.0)
 
 
-@query(sql(*RESNIK, select=RESNIK_PAIRS + " SELECT i, j, round((s1 + s2) / (n1 + n2), 6) AS score FROM x JOIN y USING (i, j)", profile="part_profile"))
-def resnik_bma(spark, d):
-    return rounded(S.resnik_dissimilarity(part_profile(spark, d), materialise(_resnik(spark, d), "resnik"), "bma"), "score")
+RESNIK_MODES = {
+    "resnik_bma": ("bma", "(s1 + s2) / (n1 + n2)"),
+    "resnik_funsim": ("funSimMax", "least(s1 / n1, s2 / n2)"),
+    "resnik_funsim_mean": ("funSimAvg", "(s1 / n1 + s2 / n2) / 2"),
+    "resnik_sum": ("sum", "s"),
+    "resnik_mean": ("mean", "s / (n1 * n2)"),
+    "resnik_best": ("max", "least"),
+}
 
 
-@query(sql(*RESNIK, select=RESNIK_PAIRS + " SELECT i, j, round(greatest(s1 / n1, s2 / n2), 6) AS score FROM x JOIN y USING (i, j)", profile="part_profile"))
-def resnik_funsim(spark, d):
-    return rounded(S.resnik_dissimilarity(part_profile(spark, d), materialise(_resnik(spark, d), "resnik"), "funSimMax"), "score")
+def _resnik_mode(name: str, mode: str, score: str) -> None:
+    @query(sql(*RESNIK, select=RESNIK_PAIRS + f", z AS (SELECT i, j, sum(m) AS s, min(m) AS least FROM m GROUP BY 1, 2) SELECT i, j, round({score}, 6) AS score FROM x JOIN y USING (i, j) JOIN z USING (i, j)", profile="part_profile"), name)
+    def run(spark, d):
+        return rounded(S.resnik_dissimilarity(part_profile(spark, d), materialise(_resnik(spark, d), "resnik"), mode), "score")
+
+
+for _name, (_mode, _score) in RESNIK_MODES.items():
+    _resnik_mode(_name, _mode, _score)
 
 
 REPLACED = [("N:small ring", "N:red widget"), ("N:blue bolt", "N:red widget")]

@@ -252,3 +252,41 @@ def test_empty_inputs(spark):
     assert matching.conformal(none.select(F.col("cost").alias("score")), 0.1).count() == 0
     assert matching.above_quantiles(none.withColumnRenamed("cost", "value"), [0.5]).count() == 0
     assert geometry.nearest_vectors(spark.createDataFrame([], "id long, vec array<double>"), 3).count() == 0
+
+
+@pytest.mark.parametrize("mode", ["sum", "mean", "max", "bma", "funSimAvg", "funSimMax"])
+def test_resnik_modes(spark, mode):
+    """Against matrices, with terms that share nothing and an entity without terms on either side."""
+    rng = np.random.default_rng(6)
+    sim = np.where(rng.random((5, 4)) < 0.6, rng.random((5, 4)) * 3, 0.0)
+    x, y = rng.random((4, 5)) < 0.5, rng.random((3, 4)) < 0.5
+    x[0], y[1], x[3], y[0] = False, False, True, True
+    rows = [(db, f"e{i}", f"{t}{k}") for db, t, z in ((0, "a", x), (1, "b", y)) for i, k in zip(*np.nonzero(z))]
+    profile = spark.createDataFrame(rows + rows[:2], "db int, entity string, term string")
+    terms = spark.createDataFrame([(f"a{i}", f"b{j}", float(sim[i, j])) for i, j in zip(*np.nonzero(sim))], "t1 string, t2 string, sim double")
+    entities = spark.createDataFrame([(db, f"e{i}") for db, n in ((0, 4), (1, 3)) for i in range(n)], "db int, entity string")
+    m = np.exp(-sim)
+    far = 2 * m.max()
+
+    def plain(own, other):
+        n, k = own.sum(), other.sum()
+        cells = m[own][:, other]
+        if mode in ("sum", "mean"):
+            return cells.sum() / (1 if mode == "sum" else max(n * k, 1))
+        if mode == "max":
+            return cells.min() if cells.size else far
+        one = cells.min(axis=1).sum() if cells.size else n * far
+        two = cells.min(axis=0).sum() if cells.size else k * far
+        if mode == "bma":
+            return (one + two) / (n + k) if n + k else None
+        means = one / max(n, 1), two / max(k, 1)
+        return sum(means) / 2 if mode == "funSimAvg" else min(means)
+
+    got = {(r["i"], r["j"]): r["score"] for r in semantics.resnik_dissimilarity(profile, terms, mode, entities).collect()}
+    assert len(got) == 12
+    for i in range(4):
+        for j in range(3):
+            want = plain(x[i], y[j])
+            assert got[f"e{i}", f"e{j}"] == (None if want is None else pytest.approx(want, abs=1e-9))
+    few = {(r["i"], r["j"]): r["score"] for r in semantics.resnik_dissimilarity(profile, terms, mode).collect()}
+    assert few and all(v == pytest.approx(got[k], abs=1e-9) for k, v in few.items())
