@@ -647,6 +647,35 @@ def ppi_within(spark, d):
     return J.partners_within(*_ppi(spark, d))
 
 
+SCORED = PPI[: PPI.index(", ppi AS")] + """, ppi AS (SELECT a.l_suppkey AS protein, b.l_suppkey AS partner, max(CAST(a.l_quantity + b.l_quantity AS DOUBLE) / 100) AS s FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey WHERE a.l_quantity >= 45 AND b.l_quantity >= 45 GROUP BY 1, 2),
+    one AS (SELECT a.entity AS i, b.entity AS j, s FROM mem a JOIN ppi ON a.protein = ppi.protein JOIN mem b ON b.protein = ppi.partner), ways AS (SELECT i, j, round(max(s), 6) AS s FROM (SELECT * FROM one UNION ALL SELECT j, i, s FROM one) GROUP BY 1, 2)"""
+
+
+def _scored(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The same partners, with the largest quantities of their lines as a score."""
+    large = table(spark, d, "lineitem").where("l_quantity >= 45").select("l_orderkey", "l_suppkey", "l_quantity")
+    pairs = large.alias("a").join(large.alias("b"), "l_orderkey").where("a.l_suppkey <> b.l_suppkey")
+    score = (F.col("a.l_quantity") + F.col("b.l_quantity")).cast("double") / 100
+    return _ppi(spark, d)[0], pairs.select(F.col("a.l_suppkey").alias("protein"), F.col("b.l_suppkey").alias("partner"), score.alias("score"))
+
+
+@query(f"WITH {SCORED} SELECT i, j, 1.0::DOUBLE AS s FROM ways")
+def ppi_diagonal_as_data(spark, d):
+    members, partners = _scored(spark, d)
+    return J.partner_similarity(members, partners.withColumn("score", F.lit(1.0)))
+
+
+@query(f"WITH {SCORED} SELECT i, j, 1.0::DOUBLE AS s FROM ways WHERE i <> j UNION SELECT entity, entity, 1.0::DOUBLE FROM mem")
+def ppi_diagonal_one(spark, d):
+    members, partners = _scored(spark, d)
+    return J.partner_similarity(members, partners.withColumn("score", F.lit(1.0)), "one")
+
+
+@query(f"WITH {SCORED} SELECT i, j, s FROM ways WHERE i <> j UNION SELECT entity, entity, 1.0::DOUBLE FROM mem")
+def ppi_weighted(spark, d):
+    return rounded(J.partner_similarity(*_scored(spark, d), "one"), "s")
+
+
 @query(f"WITH {PPI}, x AS ({PPI_ACROSS}) SELECT x.* FROM x WHERE CAST(i AS INTEGER) <= 25 AND CAST(j AS INTEGER) > 25")
 def ppi_across(spark, d):
     members, partners = _ppi(spark, d)

@@ -29,12 +29,28 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("database_id").alias("entity"), name.alias("name"), F.col("hpo_id").alias("term"))
 
 
+def names(spark: SparkSession, path: str, key: str = "hp_id", name: str = "name") -> DataFrame:
+    """`(term, name)` of a `;`-separated file, one row for each id that has one: the first name by order where several are given."""
+    rows = spark.read.csv(path, header=True, sep=";").where(F.col(key).isNotNull())
+    return rows.groupBy(F.col(key).alias("term")).agg(F.min(name).alias("name"))
+
+
+def cost_matrix(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """`(i, j, cost)` of a written matrix whose first column, named or not, numbers its rows; i and j count from 0."""
+    wide = spark.read.csv(path, header=True, sep=sep)
+    wide = wide.withColumnRenamed(wide.columns[0], "_i")
+    long = wide.unpivot(["_i"], wide.columns[1:], "j", "cost")
+    return long.select(F.col("_i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("cost").cast("double").alias("cost"))
+
+
 def gene_associations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, sep="\t").drop("source")
 
 
-def protein_links(spark: SparkSession, path: str, sep: str = " ") -> DataFrame:
-    return spark.read.csv(path, header=True, sep=sep).select("protein1", "protein2", F.col("combined_score").cast("int").alias("combined_score"))
+def protein_links(spark: SparkSession, path: str, sep: str = " ", least: int = 0) -> DataFrame:
+    """`(protein1, protein2, combined_score)` of at least `least`; published links of high confidence have 700."""
+    rows = spark.read.csv(path, header=True, sep=sep).select("protein1", "protein2", F.col("combined_score").cast("int").alias("combined_score"))
+    return rows.where(F.col("combined_score") >= least) if least else rows
 
 
 def protein_info(spark: SparkSession, path: str) -> DataFrame:
@@ -67,6 +83,12 @@ def metrics_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
 
+def metric_rows(spark: SparkSession, path: str) -> DataFrame:
+    """`(file, metric, value)` of files that hold one JSON object of numbers each; what is no number is null."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", "map<string,string>").alias("m"))
+    return rows.select("file", F.explode("m").alias("metric", "value")).withColumn("value", F.col("value").try_cast("double"))
+
+
 def pipe_list(column: str):
     """A pipe-joined cell as an array; null is an empty one."""
     return F.coalesce(F.filter(F.split(column, r"\|"), lambda x: x != ""), F.array().cast("array<string>"))
@@ -82,6 +104,26 @@ def write_edges(edges: DataFrame, path: str) -> None:
     edges.select(F.concat_ws("\t", *edges.columns).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_embeddings(rows: DataFrame, path: str, key: str = "term", vec: str = "vec") -> None:
+    """Lines `label v1 v2 ...`, as `text_embeddings` reads them; labels must be without white space."""
+    line = F.concat_ws(" ", F.col(key).cast("string"), F.array_join(F.transform(vec, lambda x: x.cast("string")), " "))
+    rows.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def run_directory(spark: SparkSession, folder: str) -> str:
+    """A new numbered folder in `folder`, made on its own file system: 0 if `folder` is new, else one over the largest number
+    (1 where there is none)."""
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    base = path_of(folder.rstrip("/"))
+    files = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    n = 0
+    if files.exists(base):
+        taken = [x.getPath().getName() for x in files.listStatus(base) if x.isDirectory()]
+        n = max((int(x) for x in taken if x.isdecimal()), default=0) + 1
+    files.mkdirs(path_of(f"{base}/{n}"))
+    return f"{folder.rstrip('/')}/{n}"
+
+
 def cached(spark: SparkSession, folder: str, parameters: dict, build) -> DataFrame:
     """The table that `build()` gives, kept under the hash of its parameters: a second call reads it."""
     import hashlib

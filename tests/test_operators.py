@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from liaison.functions import hyperbolic as H
-from liaison.operators import costs, geometry, graphs, kernels, matching, ontology, ranking, semantics, simulation, transport
+from liaison.operators import costs, geometry, graphs, joins, kernels, matching, ontology, ranking, semantics, simulation, transport
 from liaison.operators.components import connected_components
 
 DIAMOND = [("d", "b"), ("d", "c"), ("b", "a"), ("c", "a")]
@@ -290,3 +290,16 @@ def test_resnik_modes(spark, mode):
             assert got[f"e{i}", f"e{j}"] == (None if want is None else pytest.approx(want, abs=1e-9))
     few = {(r["i"], r["j"]): r["score"] for r in semantics.resnik_dissimilarity(profile, terms, mode).collect()}
     assert few and all(v == pytest.approx(got[k], abs=1e-9) for k, v in few.items())
+
+
+def test_partner_similarity_diagonals(spark):
+    members = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), ("c", 3), ("c", 4), ("d", 9), ("e", None), (None, 2)], "entity string, protein int")
+    partners = spark.createDataFrame([(1, 2, 0.4), (1, 2, 0.7), (2, 1, 0.5), (3, 4, 0.9), (2, 3, None), (None, 9, 1.0)], "protein int, partner int, score double")
+    got = lambda kind: {(r["i"], r["j"]): r["s"] for r in joins.partner_similarity(members, partners, kind).collect()}
+    apart = {("a", "b"): 0.7, ("b", "a"): 0.7}
+    assert got("skipped") == apart
+    assert got("data") == apart | {("c", "c"): 0.9}
+    assert got("one") == apart | {(x, x): 1.0 for x in "abcde"}
+    with pytest.raises(ValueError):
+        joins.partner_similarity(members, partners, "two")
+    assert joins.partner_similarity(members.limit(0), partners, "one").count() == 0
