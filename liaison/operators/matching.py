@@ -78,13 +78,18 @@ def conformal(scores: DataFrame, alpha: float, value: str = "score") -> DataFram
 
 def prediction_sets(pairs: DataFrame, truth: DataFrame, alpha: float, value: str = "cost") -> DataFrame:
     """One row: a fifth of the sources (by md5 of their name) calibrates the cost that holds 1 - alpha of true pairs, and for
-    the others come the share whose truth is within it and the mean size of their sets."""
+    the others come the share whose truth is within it and the mean size of their sets. Where so few calibrate that no cost
+    holds this share, the threshold is infinite and the sets hold every candidate."""
     calibrates = F.md5(F.col("i").cast("string")) < "33"
     true = pairs.join(truth, ["i", "j"], "left_semi").select("i", F.round(value, 9).alias("_v"))
     held = true.where(calibrates)
     n = held.count()
-    place = pairs.sparkSession.createDataFrame([(max(0, min(n, math.ceil((n + 1) * (1 - alpha))) - 1),)], "place long")
-    cut = F.broadcast(order_statistics(held, "_v", place).select(F.col("_v").alias("threshold")))  # one row
+    spark, place = pairs.sparkSession, max(1, math.ceil((n + 1) * (1 - alpha)))
+    if place <= n:
+        cut = order_statistics(held, "_v", spark.createDataFrame([(place - 1,)], "place long")).select(F.col("_v").alias("threshold"))
+    else:
+        cut = spark.createDataFrame([(math.inf,)], "threshold double")
+    cut = F.broadcast(cut)  # one row
     sets = pairs.where(~calibrates).join(cut, F.round(value, 9) <= F.col("threshold")).groupBy("i").agg(F.count("*").alias("size"))
     rows = true.where(~calibrates).join(cut, F.lit(True)).join(sets, "i", "left")
     hit = F.avg((F.col("_v") <= F.col("threshold")).cast("double"))

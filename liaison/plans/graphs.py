@@ -220,7 +220,7 @@ def precision_threshold(spark, d):
     return rounded(M.precision_threshold(rows, "s", "y", 0.02), "threshold", "precision", "recall")
 
 
-@query(sql(*PAIRS, "jaccard", select=", t AS (SELECT i, j, round(cost, 9) AS v, md5(i) < '33' AS held FROM jaccard), h AS (SELECT v, row_number() OVER (ORDER BY v) AS r, count(*) OVER () AS n FROM t WHERE held AND i = j), c AS (SELECT v AS threshold FROM h WHERE r = greatest(1, least(n, ceil((n + 1) * 0.9::DOUBLE)))), z AS (SELECT i, count(*) AS size FROM t, c WHERE NOT held AND v <= threshold GROUP BY 1) SELECT round(threshold, 6) AS threshold, count(*) AS n, round(avg(CAST(v <= threshold AS INTEGER)), 6) AS coverage, round(avg(coalesce(size, 0)), 6) AS mean_size FROM t JOIN c ON true LEFT JOIN z ON z.i = t.i WHERE NOT held AND t.i = j GROUP BY threshold"))
+@query(sql(*PAIRS, "jaccard", select=", t AS (SELECT i, j, round(cost, 9) AS v, md5(i) < '33' AS held FROM jaccard), h AS (SELECT v, row_number() OVER (ORDER BY v) AS r, count(*) OVER () AS n FROM t WHERE held AND i = j), c AS (SELECT coalesce(max(v), 'Infinity'::DOUBLE) AS threshold FROM h WHERE r = ceil((n + 1) * 0.9::DOUBLE)), z AS (SELECT i, count(*) AS size FROM t, c WHERE NOT held AND v <= threshold GROUP BY 1) SELECT round(threshold, 6) AS threshold, count(*) AS n, round(avg(CAST(v <= threshold AS INTEGER)), 6) AS coverage, round(avg(coalesce(size, 0)), 6) AS mean_size FROM t JOIN c ON true LEFT JOIN z ON z.i = t.i WHERE NOT held AND t.i = j GROUP BY threshold"))
 def prediction_sets(spark, d):
     p = profile(spark, d)
     return rounded(M.prediction_sets(C.cost(p), truth_of(p), 0.1), "threshold", "coverage", "mean_size")

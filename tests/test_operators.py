@@ -1,5 +1,6 @@
 """Hand-checked fixtures and properties."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -303,3 +304,18 @@ def test_partner_similarity_diagonals(spark):
     with pytest.raises(ValueError):
         joins.partner_similarity(members, partners, "two")
     assert joins.partner_similarity(members.limit(0), partners, "one").count() == 0
+
+
+def test_prediction_sets_of_few_rows_hold_every_candidate(spark):
+    """One source or none calibrates: no cost of theirs holds nine tenths of the truth."""
+    held = [x for x in map(str, range(200)) if hashlib.md5(x.encode()).hexdigest() < "33"]
+    others = [x for x in map(str, range(200)) if x not in held][:4]
+    for ids in ([held[0], *others], others):
+        pairs = spark.createDataFrame([(i, j, 0.0 if i == j else 0.5) for i in ids for j in ids], "i string, j string, cost double")
+        truth = spark.createDataFrame([(i, i) for i in ids], "i string, j string")
+        row = matching.prediction_sets(pairs, truth, 0.1).first()
+        assert (row["threshold"], row["n"], row["coverage"], row["mean_size"]) == (math.inf, 4, 1.0, len(ids))
+    ids = [*held[:12], *others]
+    pairs = spark.createDataFrame([(i, j, k / 100 if i == j else 0.5) for k, i in enumerate(ids) for j in ids], "i string, j string, cost double")
+    row = matching.prediction_sets(pairs, spark.createDataFrame([(i, i) for i in ids], "i string, j string"), 0.1).first()
+    assert row["threshold"] == 0.11 and row["mean_size"] == 0.0  # the 12th of 12
