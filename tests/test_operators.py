@@ -319,3 +319,13 @@ def test_prediction_sets_of_few_rows_hold_every_candidate(spark):
     pairs = spark.createDataFrame([(i, j, k / 100 if i == j else 0.5) for k, i in enumerate(ids) for j in ids], "i string, j string, cost double")
     row = matching.prediction_sets(pairs, spark.createDataFrame([(i, i) for i in ids], "i string, j string"), 0.1).first()
     assert row["threshold"] == 0.11 and row["mean_size"] == 0.0  # the 12th of 12
+
+
+@pytest.mark.parametrize("tau", [math.inf, 0.5])
+def test_sinkhorn_of_a_flat_cost(spark, tau):
+    cost = spark.createDataFrame([(i, j, 0.0) for i in "ab" for j in "xy"], "i string, j string, cost double")
+    even = [r["mass"] for r in transport.sinkhorn(cost, rounds=3, tolerance=0, tau=tau).collect()]
+    assert even == pytest.approx([0.25] * 4)
+    none = transport.sinkhorn(cost, rounds=3, tolerance=0, tau=tau, flat=0.0)
+    assert all(math.isnan(r["mass"]) for r in none.collect()) and none.count() == 4
+    assert all(math.isnan(x) for r in matching.gap_features(none).collect() for x in (r["top_share"], r["log_gap"], r["entropy"]))
