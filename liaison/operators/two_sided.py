@@ -38,11 +38,26 @@ class TwoSided:
     ls: DataFrame
     lt: DataFrame
     alpha: float = 0.5
+    sources: tuple[DataFrame, ...] = ()
 
     @classmethod
     def of(cls, xs: DataFrame, xt: DataFrame, ss: DataFrame, st: DataFrame, alpha: float = 0.5) -> TwoSided:
         """From cells `(i, j, x)` of the features (rows are entities) and similarities, entities numbered from 0."""
-        return cls(*(materialise(packed_blocks(x), "side") for x in (xs, xt, laplacian_cells(ss), laplacian_cells(st))), alpha)
+        return cls(*(materialise(packed_blocks(x), "side") for x in (xs, xt, laplacian_cells(ss), laplacian_cells(st))), alpha, (xs, xt, ss, st))
+
+    def reached(self, plan: DataFrame) -> DataFrame:
+        """`(i, j)`: the cells of the gradient that have terms, also where these cancel to 0: products of ones, which never do."""
+        ones = lambda x: materialise(packed_blocks(x.select("i", "j").distinct().withColumn("x", F.lit(1.0))), "ones")
+
+        def linked(x: DataFrame) -> DataFrame:
+            both = x.select("i", "j").union(x.select("j", "i"))
+            return both.union(both.select("i", F.col("i").alias("j")))
+
+        xs, xt, ss, st = self.sources
+        xs, xt, ls, lt, g = ones(xs), ones(xt), ones(linked(ss)), ones(linked(st)), ones(plan)
+        lp = materialise(product(ls, materialise(product(g, xt), "seen")), "seen")
+        lq = materialise(product(lt, materialise(product(transposed(g), xs), "seen")), "seen")
+        return cells_of(product(lp, transposed(xt))).union(cells_of(product(xs, transposed(lq)))).select("i", "j").distinct()
 
     def gradient(self, plan: DataFrame) -> tuple[DataFrame, float]:
         """The gradient's cells `(i, j, x)`, and the term itself, of the plan's cells `(i, j, x)`."""

@@ -228,3 +228,15 @@ def test_hyperboloid_maps(spark):
         assert np.allclose(e, q) and abs(product(p, u)) < 1e-8 and abs(product(q, v)) < 1e-8
         assert product(u, u) == pytest.approx(product(v, v), abs=1e-8)
         assert np.sqrt(max(product(u, u), 0)) == pytest.approx(np.arccosh(max(1, -product(p, q))), abs=1e-6)
+
+
+def test_cells_whose_terms_cancel_stay(spark):
+    """Two alike entities on each side: the Laplacians times the even plan are 0, and every cell has a term."""
+    cells = spark.createDataFrame([(i, j, 1.0) for i in range(2) for j in range(2)], "i long, j long, x double")
+    sides = Z.TwoSided.of(*[cells] * 4)
+    plan = cells.withColumn("x", F.lit(0.25))
+    assert sides.gradient(plan)[0].where("x <> 0").count() == 0
+    assert {(r["i"], r["j"]) for r in sides.reached(plan).collect()} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    # and no cell where nothing meets: the second entities share nothing
+    apart = spark.createDataFrame([(0, 0, 1.0), (1, 1, 1.0)], "i long, j long, x double")
+    assert {(r["i"], r["j"]) for r in Z.TwoSided.of(*[apart] * 4).reached(apart).collect()} == {(0, 0), (1, 1)}
