@@ -329,3 +329,36 @@ def test_sinkhorn_of_a_flat_cost(spark, tau):
     none = transport.sinkhorn(cost, rounds=3, tolerance=0, tau=tau, flat=0.0)
     assert all(math.isnan(r["mass"]) for r in none.collect()) and none.count() == 4
     assert all(math.isnan(x) for r in matching.gap_features(none).collect() for x in (r["top_share"], r["log_gap"], r["entropy"]))
+
+
+def labelled_vectors(spark, n=90):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 0.2, (n, 3))
+    x[1], x[2] = x[0], x[0]  # ties go by id
+    return spark.createDataFrame([(i, i % 4, v.tolist(), float(v[0])) for i, v in enumerate(x)], "id long, label int, vec array<double>, x double")
+
+
+def test_ranks_of_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(geometry, "BLOCK", 20)
+    monkeypatch.setattr(geometry, "STRIPE", 1000)
+    rows = labelled_vectors(spark)
+    pairs = geometry.pair_distances(rows, rows)
+    a, b = (rows.select(F.col("id").alias(n), F.col("label").alias(f"l{n}"), F.col("x").alias(f"x{n}")) for n in "ij")
+    both = a.crossJoin(b).where("i <> j")
+    table = lambda df, key: {r[key]: pytest.approx(tuple(r), abs=1e-9) for r in df.collect()}
+    got = {r["i"]: tuple(r) for r in geometry.value_precision(rows.select("id", "vec", F.col("label").alias("value"))).collect()}
+    assert got == table(geometry.average_precision(pairs, both.where("li = lj")), "i") and len(got) == 90
+    got = {r["k"]: tuple(r) for r in geometry.value_coranking(rows.select("id", "vec", F.col("x").alias("value"))).collect()}
+    assert got == table(geometry.coranking(pairs, both.select("i", "j", F.abs(F.col("xi") - F.col("xj")).alias("d"))), "k") and len(got) > 50
+    one = rows.select("id", F.array("x").alias("vec"))
+    got = {(r["i"], r["j"]): r["d"] for r in geometry.nearest_vectors(one, 4, "absolute").collect()}
+    want = {(r["i"], r["j"]): r["d"] for r in geometry.nearest(both.select("i", "j", F.abs(F.col("xi") - F.col("xj")).alias("d")), 4).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_dispersion_by_blocks(spark):
+    rows = labelled_vectors(spark, 40)
+    pairs = geometry.pair_distances(rows, rows).join(rows.select(F.col("id").alias("i"), "label"), "i").join(rows.select(F.col("id").alias("j"), F.col("label").alias("other")), "j")
+    stats = (F.count("*"), F.sum("d"), F.avg("d"), F.max("d"), F.min("d"), F.stddev_pop("d"))
+    want = {r[0]: pytest.approx(tuple(r), abs=1e-9) for r in pairs.where("i < j and label = other").groupBy("label").agg(*stats).collect()}
+    assert {r["label"]: tuple(r) for r in geometry.dispersion(rows, "label").select("label", "n", "sum", "mean", "max", "min", "std").collect()} == want
