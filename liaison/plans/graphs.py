@@ -15,7 +15,7 @@ from ..operators import similarity as Y
 from ..operators import transport as T
 from ..shared import materialise
 from .catalogue import edges, part_profile, profile, sql
-from .queries import ALL_D, CUTS, EMB, KNN, PAIRS, _cells, _distances, _knn, _over, _poincare, embedded, query, roots, rounded, truth_of
+from .queries import ALL_D, CUTS, EMB, KNN, PAIRS, _cells, _knn, _over, _poincare, embedded, query, roots, rounded, truth_of
 
 # --- hierarchies ---
 
@@ -117,9 +117,8 @@ FLAT = ", flat AS (SELECT a.id AS i, b.id AS j, abs(a.vec[1] - b.vec[1]) AS d FR
 
 
 def _flat_knn(spark, d) -> DataFrame:
-    one = embedded(spark, d).select("id", F.element_at("vec", 1).alias("x"))
-    low = one.select(F.col("id").alias("i"), F.col("x").alias("a")).crossJoin(one.select(F.col("id").alias("j"), F.col("x").alias("b")))
-    return materialise(G.nearest(low.select("i", "j", F.abs(F.col("a") - F.col("b")).alias("d")), 5), "flat")
+    one = embedded(spark, d).select("id", F.array(F.element_at("vec", 1)).alias("vec"))
+    return materialise(G.nearest_vectors(one, 5, "absolute"), "flat")
 
 
 @query(f"WITH {KNN}{FLAT} SELECT coalesce(a.i, b.i) AS i, coalesce(a.j, b.j) AS j, round(least(a.d, b.d), 6) AS d FROM knn a FULL JOIN k2 b ON a.i = b.i AND a.j = b.j")
@@ -139,9 +138,10 @@ def neighbours_closest(spark, d):
 
 @query(f"WITH {ALL_D}, r AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY round(d, 9), j) AS k FROM dist WHERE i <> j), h AS (SELECT r.i, k, CAST(a.label = b.label AS INTEGER) AS hit FROM r JOIN emb a ON a.id = r.i JOIN emb b ON b.id = r.j WHERE k <= 10), p AS (SELECT k, sum(hit) OVER (PARTITION BY i ORDER BY k) / CAST(k AS DOUBLE) AS p FROM h) SELECT CAST(k AS INTEGER) AS k, round(avg(p), 6) AS precision FROM p GROUP BY k")
 def precision_at_k(spark, d):
-    e = embedded(spark, d).select("id", "label")
-    same = e.select(F.col("id").alias("i"), "label").join(e.select(F.col("id").alias("j"), "label"), "label").where("i <> j")
-    return rounded(G.precision_at(_distances(spark, d), same, 10), "precision")
+    label = lambda end: embedded(spark, d).select(F.col("id").alias(end), F.col("label").alias(f"_{end}"))
+    near = materialise(G.nearest_vectors(embedded(spark, d), 10), "near")
+    same = near.join(label("i"), "i").join(label("j"), "j").where("_i = _j").select("i", "j")
+    return rounded(G.precision_at(near, same, 10), "precision")
 
 
 @query(
@@ -150,10 +150,8 @@ def precision_at_k(spark, d):
     " SELECT CAST(k_max AS INTEGER) AS k_max, round(avg(CASE WHEN k <= k_max THEN q END), 6) AS q_local, round(avg(CASE WHEN k > k_max THEN q END), 6) AS q_global FROM c, m GROUP BY k_max"
 )
 def coranking_summary(spark, d):
-    e = embedded(spark, d)
-    one = e.select("id", F.element_at("vec", 1).alias("x"))
-    low = one.select(F.col("id").alias("i"), F.col("x").alias("a")).crossJoin(one.select(F.col("id").alias("j"), F.col("x").alias("b"))).select("i", "j", F.abs(F.col("a") - F.col("b")).alias("d"))
-    return rounded(G.quality_summary(materialise(G.coranking(_distances(spark, d), low), "curve"), one.count()), "q_local", "q_global")
+    rows = embedded(spark, d).select("id", "vec", F.element_at("vec", 1).alias("value"))
+    return rounded(G.quality_summary(materialise(G.value_coranking(rows), "curve"), rows.count()), "q_local", "q_global")
 
 
 def _dots(u: str, v: str) -> str:
