@@ -240,3 +240,14 @@ def test_cells_whose_terms_cancel_stay(spark):
     # and no cell where nothing meets: the second entities share nothing
     apart = spark.createDataFrame([(0, 0, 1.0), (1, 1, 1.0)], "i long, j long, x double")
     assert {(r["i"], r["j"]) for r in Z.TwoSided.of(*[apart] * 4).reached(apart).collect()} == {(0, 0), (1, 1)}
+
+
+def test_sparse_product_lists_what_meets(spark):
+    own = np.random.default_rng(5)
+    a, b = (own.integers(-2, 3, (30, 40)) * (own.random((30, 40)) < 0.1) for _ in "ab")
+    cells = lambda m: spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))], "i long, j long, x double")
+    got = {(r["i"], r["j"]): r["x"] for r in L.sparse_product(cells(a), cells(b.T)).collect()}
+    assert set(got) == set(zip(*(x.tolist() for x in np.nonzero((a != 0).astype(int) @ (b != 0).T.astype(int))))) and all(x == (a @ b.T)[k] for k, x in got.items())
+    # few cells far apart: no block of zeros is made
+    far = spark.createDataFrame([(10**12, 10**15, 2.0), (5, 10**15, 3.0)], "i long, j long, x double")
+    assert {tuple(r) for r in L.sparse_product(far, far.select(F.col("j").alias("i"), F.col("i").alias("j"), "x")).collect()} == {(10**12, 10**12, 4.0), (10**12, 5, 6.0), (5, 10**12, 6.0), (5, 5, 9.0)}
