@@ -231,6 +231,20 @@ def test_nearest_vectors_equal_nearest_of_all_pairs(spark, monkeypatch):
     assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-9 for k in one)
 
 
+def test_vectors_of_far_shells_are_not_compared(spark, monkeypatch):
+    monkeypatch.setattr(geometry, "BLOCK", 40)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 5))
+    x *= (np.where(np.arange(200) % 2, 0.05, 0.9) / np.linalg.norm(x, axis=1))[:, None]
+    x[-2:] *= 1.2 / 0.05  # outside the ball: nothing is known
+    own = geometry.Closest(np.arange(99), x[1:198:2], 3, "poincare")
+    own.see(np.arange(99), x[1:198:2])
+    assert len(own.reached(x[:198:2])) == 0 and len(own.reached(x[197:])) == 99
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:198])], "id long, vec array<double>")
+    one, two = ({(r["i"], r["j"]): r["d"] for r in x.collect()} for x in (geometry.nearest_vectors(rows, 3), geometry.nearest(geometry.pair_distances(rows, rows), 3)))
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-9 for k in one)
+
+
 def test_heights_are_longest_ways_and_cycles_are_errors(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("d", "c")], "child string, parent string")
     assert {r["term"]: r["depth"] for r in ontology.heights(e).collect()} == {"a": 0, "d": 0, "b": 1, "c": 2}
