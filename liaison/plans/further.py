@@ -108,7 +108,7 @@ def cost_lca_path(spark, d):
 def vertical_distances(spark, d):
     """Distances between one entity's terms and those of several others, a row for each pair."""
     e = materialise(embedded(spark, d), "embedded")
-    return rounded(G.pair_distances(e.where("label = 3"), e.where("label in (4, 5)")), "d")
+    return G.pair_distances(e.where("label = 3"), e.where("label in (4, 5)"), digits=6)
 
 
 @query(sql("purchases", "profile", "edges", "closure", "self", "weights", select=", m AS (SELECT p.db, p.entity, max(-ln(w.w)) AS m FROM profile p JOIN weights w ON w.term = p.term GROUP BY 1, 2) SELECT db, entity, round(m / max(m) OVER (), 6) AS share FROM m"))

@@ -376,3 +376,16 @@ def test_dispersion_by_blocks(spark):
     stats = (F.count("*"), F.sum("d"), F.avg("d"), F.max("d"), F.min("d"), F.stddev_pop("d"))
     want = {r[0]: pytest.approx(tuple(r), abs=1e-9) for r in pairs.where("i < j and label = other").groupBy("label").agg(*stats).collect()}
     assert {r["label"]: tuple(r) for r in geometry.dispersion(rows, "label").select("label", "n", "sum", "mean", "max", "min", "std").collect()} == want
+
+
+def test_pair_distances_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(geometry, "SIDE", 3)
+    monkeypatch.setattr(geometry, "ROWS", 5)
+    x = np.random.default_rng(4).normal(0, 0.2, (7, 3))
+    left = spark.createDataFrame([(f"a{n}", v.tolist()) for n, v in enumerate(x)] + [("null", None), ("part", [0.1, None, 0.1]), ("short", [0.1])], "id string, vec array<double>")
+    right = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(x)], "id long, vec array<double>")
+    got = {(r["i"], r["j"]): r["d"] for r in geometry.pair_distances(left, right, digits=6).collect()}
+    assert len(got) == 70 and all(got[n, j] is None for n in ("null", "part", "short") for j in range(7))
+    want = geometry.ball_grid(x, x)
+    assert all(got[f"a{i}", j] == round(want[i, j], 6) for i in range(7) for j in range(7))
+    assert geometry.pair_distances(left.where("id = 'none'"), right).count() == 0
