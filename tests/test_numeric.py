@@ -148,6 +148,19 @@ def test_inverse_columns_against_numpy(spark):
         L.inverse_columns(spark.createDataFrame(doubled, "i long, j long, s double"), spark.createDataFrame([(0,)], "c long"), limit=1)
 
 
+def test_parts_of_an_inverse_ask_for_what_they_reach(spark, monkeypatch):
+    monkeypatch.setattr(L, "WIDTH", 7)
+    n = 40
+    s = np.diag(rng.random(n - 1), 1)
+    s[0, 20:30] = 0.3  # a hub
+    both = s + s.T
+    want = np.linalg.inv(np.diag(both.sum(axis=1)) - both + np.eye(n))
+    edges = [(i, j, float(both[i, j])) for i in range(n) for j in range(n) if both[i, j]]
+    found = L.inverse_columns(spark.createDataFrame(edges, "i long, j long, s double"), spark.createDataFrame([(i,) for i in range(n)], "c long"), over=1e-4).collect()
+    got = {(r["i"], r["c"]): r["x"] for r in found}
+    assert len(got) == len(found) == (want > 1e-4).sum() and all(abs(x - want[k]) < 1e-9 for k, x in got.items())
+
+
 def test_block_products_against_numpy(spark):
     a, b = (rng.integers(-3, 4, s) * (rng.random(s) < 0.4) for s in ((23, 31), (31, 17)))
     cells = lambda x: spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i in range(x.shape[0]) for j in range(x.shape[1]) if x[i, j]], "i long, j long, x double")
