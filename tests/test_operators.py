@@ -389,3 +389,18 @@ def test_pair_distances_by_blocks(spark, monkeypatch):
     want = geometry.ball_grid(x, x)
     assert all(got[f"a{i}", j] == round(want[i, j], 6) for i in range(7) for j in range(7))
     assert geometry.pair_distances(left.where("id = 'none'"), right).count() == 0
+
+
+def test_name_join_deals_frequent_names(spark, monkeypatch):
+    """Copies of a name are joined by lists and shares: all pairs come out, once each, and ids that are null stay."""
+    from liaison.operators import joins
+
+    monkeypatch.setattr(joins, "LISTED", 3)
+    monkeypatch.setattr(joins, "SHARE", 2)
+    left = [(i, "Same-Name") for i in range(11)] + [(50, "own"), (50, "own"), (51, None), (None, "own")]
+    right = [(i, " same  name") for i in range(100, 117)] + [(200, "OWN"), (None, "own"), (201, None), (202, "none")]
+    schema = "id long, name string"
+    made = joins.name_join(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema))
+    expected = {(i, j, "same name") for i in range(11) for j in range(100, 117)} | {(i, j, "own") for i in (50, None) for j in (200, None)}
+    found = [tuple(r) for r in made.collect()]
+    assert len(found) == len(expected) and set(found) == expected
