@@ -404,3 +404,21 @@ def test_name_join_deals_frequent_names(spark, monkeypatch):
     expected = {(i, j, "same name") for i in range(11) for j in range(100, 117)} | {(i, j, "own") for i in (50, None) for j in (200, None)}
     found = [tuple(r) for r in made.collect()]
     assert len(found) == len(expected) and set(found) == expected
+
+
+def test_closest_bounds_its_first_search():
+    """The bound from one pass is not under the k-th nearest, is near it, and leaves out the vector itself; copies are kept."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 8))
+    x = x / np.linalg.norm(x, axis=1)[:, None] * rng.uniform(0.05, 0.95, 600)[:, None]
+    x[40:44] = x[40]
+    ids, k = np.arange(600), 5
+    own = geometry.Closest(ids[:200], x[:200], k, "poincare")
+    d = geometry.ball_distances(np.repeat(x[:200], 600, axis=0), np.tile(x, (200, 1))).reshape(200, 600)
+    d[ids[:200], ids[:200]] = np.inf
+    kth = np.sort(d, axis=1)[:, k - 1]
+    bound = own.bound(np.arange(200), ids, x, own.sides(x))
+    assert (bound >= kth).all() and (d <= bound[:, None]).sum(axis=1).mean() < 3 * k
+    own.see(ids, x)
+    order = np.lexsort((np.broadcast_to(ids, d.shape), np.round(d, 9)))[:, :k]
+    assert (own.js.reshape(200, k) == order).all()
