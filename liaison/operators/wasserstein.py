@@ -11,8 +11,9 @@ from ..shared import materialise
 from .neighbours import block_distances
 from .ranking import numbered_within
 
-#: Terms of all supports of a block; numbers of the arrays that are solved at once.
-BLOCK_TERMS, BATCH = 1 << 14, 1 << 21
+#: Terms of all supports of a block; numbers of the arrays that are solved at once; of a larger problem's, those of the rows that both
+#: halves of a round pass over while they are at hand.
+BLOCK_TERMS, BATCH, STRIP = 1 << 12, 1 << 21, 1 << 16
 
 
 def support_blocks(profile: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -51,13 +52,31 @@ def batch_sinkhorn(costs: np.ndarray, a: np.ndarray, b: np.ndarray, eps: float,
     return np.einsum("pn,pnm,pm->p", u, kernel * costs, v, optimize=True)
 
 
+def strip_sinkhorn(costs, a: np.ndarray, b: np.ndarray, eps: float, rounds: int) -> float:
+    """batch_sinkhorn() of one large problem, whose rows `costs(rows)` gives: a round passes over the kernel once, by strips of rows that
+    give their scalings and at once their share of the sums by column. The kernel is all that is held of its size."""
+    step = max(1, STRIP // len(b))
+    strips = [slice(at, at + step) for at in range(0, len(a), step)]
+    kernel = np.empty((len(a), len(b)))
+    for s in strips:
+        kernel[s] = np.exp(-costs(s) / eps)
+    u, v = np.ones_like(a), np.ones_like(b)
+    for _ in range(rounds):
+        total = np.zeros_like(b)
+        for s in strips:
+            u[s] = a[s] / (kernel[s] @ v + 1e-9)
+            total += u[s] @ kernel[s]
+        v = b / (total + 1e-9)
+    return float(sum(u[s] @ ((kernel[s] * costs(s)) @ v) for s in strips))
+
+
 def batched_wasserstein(left: DataFrame, right: DataFrame, vectors: DataFrame, eps: float = 0.05, rounds: int = 200) -> DataFrame:
     """`(i, j, cost)` of every entity of `left(entity, term[, w])` and `right`: the cost of the entropic transport of their terms'
     weights at the Poincare distances of `vectors(term, vec)`.
 
     Every block of `left` meets every block of `right`, as the answer has a row for each pair; a row that is shuffled is a
     block. The distances of two blocks' terms are computed once, and problems of one shape are solved in batches of BATCH
-    numbers (or one problem)."""
+    numbers; a larger one is solved by itself, in strips."""
     kinds = dict(left.dtypes)["entity"], dict(right.dtypes)["entity"]
     a, b = materialise(support_blocks(left, vectors), "left"), materialise(support_blocks(right, vectors), "right")
 
@@ -69,8 +88,15 @@ def batched_wasserstein(left: DataFrame, right: DataFrame, vectors: DataFrame, e
         for pdf in batches:
             for r in pdf.to_dict("records"):
                 (i, wi, pi, vi), (j, wj, pj, vj) = side(r), side(r, "_b")
-                d = block_distances(vi, vj)
                 n, m = pi.shape[1], pj.shape[1]
+                if n * m > BATCH:
+                    for x in range(len(i)):
+                        for y in range(len(j)):
+                            own, other = vi[pi[x]], vj[pj[y]]
+                            cost = strip_sinkhorn(lambda s: block_distances(own[s], other), wi[x], wj[y], eps, rounds)
+                            yield pd.DataFrame({"i": [i[x]], "j": [j[y]], "cost": [cost]})
+                    continue
+                d = block_distances(vi, vj)
                 x, y = (k.ravel() for k in np.meshgrid(np.arange(len(i)), np.arange(len(j)), indexing="ij"))
                 step = max(1, BATCH // (n * m))
                 for at in range(0, len(x), step):
@@ -78,5 +104,7 @@ def batched_wasserstein(left: DataFrame, right: DataFrame, vectors: DataFrame, e
                     cost = batch_sinkhorn(d[pi[p][:, :, None], pj[q][:, None, :]], wi[p], wj[q], eps, rounds)
                     yield pd.DataFrame({"i": [i[k] for k in p], "j": [j[k] for k in q], "cost": cost})
 
-    both = a.crossJoin(b.select(*(F.col(c).alias(f"{c}_b") for c in b.columns)))
+    # a task has one block, or some, and an eighth of the others: a few blocks of many terms would else be the work of a few tasks
+    a, b = a.repartitionByRange(max(1, min(256, a.count())), "size", "ids"), b.repartitionByRange(max(1, min(8, b.count())), "size", "ids")
+    both = a.crossJoin(b.select(*(F.col(c).alias(f"{c}_b") for c in b.columns)).hint("shuffle_replicate_nl"))
     return both.mapInPandas(solve, f"i {kinds[0]}, j {kinds[1]}, cost double")

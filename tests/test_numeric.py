@@ -264,3 +264,35 @@ def test_sparse_product_lists_what_meets(spark):
     # few cells far apart: no block of zeros is made
     far = spark.createDataFrame([(10**12, 10**15, 2.0), (5, 10**15, 3.0)], "i long, j long, x double")
     assert {tuple(r) for r in L.sparse_product(far, far.select(F.col("j").alias("i"), F.col("i").alias("j"), "x")).collect()} == {(10**12, 10**12, 4.0), (10**12, 5, 6.0), (5, 10**12, 6.0), (5, 5, 9.0)}
+
+
+def test_large_transport_by_strips(spark, monkeypatch):
+    """A problem that is over a batch is solved in strips, without a table of its distances, and to the same cost."""
+    from liaison.operators import wasserstein
+
+    rng = np.random.default_rng(5)
+    u, v = rng.uniform(-0.2, 0.2, (70, 4)), rng.uniform(-0.2, 0.2, (50, 4))
+    a, b = rng.dirichlet(np.ones(70)), rng.dirichlet(np.ones(50))
+    d, asked = wasserstein.block_distances(u, v), []
+    monkeypatch.setattr(wasserstein, "STRIP", 256)
+
+    def costs(rows):
+        asked.append(len(u[rows]))
+        return d[rows]
+
+    for rounds in (0, 1, 200):
+        want = wasserstein.batch_sinkhorn(d[None], a[None], b[None], 0.05, rounds)[0]
+        assert abs(wasserstein.strip_sinkhorn(costs, a, b, 0.05, rounds) - want) < 1e-12 * max(want, 1)
+    assert max(asked) <= 256 // 50
+
+
+def test_large_problems_equal_batches(spark, monkeypatch):
+    vectors = frame(spark, ball(30) * 0.3).withColumnsRenamed({"id": "term"})
+    (_, left), (_, right) = supports(spark, 5, [2, 5]), supports(spark, 4, [3, 4])
+    cost = lambda: {(r["i"], r["j"]): r["cost"] for r in V.batched_wasserstein(left, right, vectors).collect()}
+    one = cost()
+    monkeypatch.setattr(V, "BATCH", 6)
+    monkeypatch.setattr(V, "STRIP", 8)
+    monkeypatch.setattr(V, "BLOCK_TERMS", 8)
+    two = cost()
+    assert one.keys() == two.keys() and len(one) == 20 and all(abs(one[k] - two[k]) < 1e-12 for k in one)
