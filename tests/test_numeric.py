@@ -1,5 +1,7 @@
 """Neighbour graphs, batched transport and linear algebra against plain versions."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -296,3 +298,21 @@ def test_large_problems_equal_batches(spark, monkeypatch):
     monkeypatch.setattr(V, "BLOCK_TERMS", 8)
     two = cost()
     assert one.keys() == two.keys() and len(one) == 20 and all(abs(one[k] - two[k]) < 1e-12 for k in one)
+
+
+def test_best_links_of_blocks_are_those_of_all_pairs():
+    """Ties go to the least pair, components without a foreign vector have no link; all components of a block are found at once."""
+    x = np.round(rng.uniform(-0.3, 0.3, (240, 2)), 1)  # many equal distances
+    ids, roots = rng.permutation(240) * 3, rng.integers(0, 60, 240)
+    a, b = ({"ids": ids[s], "roots": roots[s]} for s in (slice(0, 130), slice(130, 240)))
+    d = N.block_distances(x[:130], x[130:])
+    want = {}
+    for p, q in itertools.product(range(130), range(110)):
+        if a["roots"][p] != b["roots"][q]:
+            e = (d[p, q], *sorted((int(a["ids"][p]), int(b["ids"][q]))))
+            for side, root in ((0, a["roots"][p]), (1, b["roots"][q])):
+                want[side, root] = min(want.get((side, root), (np.inf,)), e)
+    found = N._best(d, a, b, False)
+    assert sorted(found) == sorted((int(root), *e) for (_, root), e in want.items())
+    alone = {"ids": ids[:5], "roots": np.zeros(5, int)}
+    assert N._best(d[:5, :5], alone, alone, True) == []
