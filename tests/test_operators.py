@@ -352,6 +352,34 @@ def labelled_vectors(spark, n=90):
     return spark.createDataFrame([(i, i % 4, v.tolist(), float(v[0])) for i, v in enumerate(x)], "id long, label int, vec array<double>, x double")
 
 
+def test_ranks_shuffle_no_pairs_of_blocks(spark):
+    rows = labelled_vectors(spark).select("id", "vec", F.col("label").alias("value"))
+    plan = geometry.value_precision(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan
+    assert not any(x in plan[: plan.index("CartesianProduct")] for x in ("Exchange", "Sort"))
+
+
+@pytest.mark.parametrize("held", [0, 1 << 29])
+def test_ranks_are_the_same_where_vectors_pass_by(spark, monkeypatch, held):
+    monkeypatch.setattr(geometry, "HELD", held)
+    monkeypatch.setattr(geometry, "PASSED", 16)
+    monkeypatch.setattr(geometry, "BLOCK", 20)
+    monkeypatch.setattr(geometry, "STRIPE", 200)
+    rows = labelled_vectors(spark)
+    x = np.array([r["vec"] for r in rows.orderBy("id").collect()])
+    d = np.round(geometry.ball_grid(x, x), 9)
+    np.fill_diagonal(d, np.inf)
+    rank = lambda d: np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1, kind="stable") + 1
+    low = np.round(np.abs(x[:, :1] - x[:, 0]), 9)
+    np.fill_diagonal(low, np.inf)
+    p, q = rank(d), rank(low)
+    off = ~np.eye(len(x), dtype=bool)
+    got = {r["k"]: (r["q"], r["b"]) for r in geometry.value_coranking(rows.select("id", "vec", F.col("x").alias("value"))).collect()}
+    near = lambda k: off & (np.maximum(p, q) <= k)
+    want = {k: (near(k).sum() / k / 90, ((near(k) & (p > q)).sum() - (near(k) & (p < q)).sum()) / k / 90) for k in got}
+    assert len(got) > 50 and 89 in got and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
 def test_ranks_of_blocks_are_those_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(geometry, "BLOCK", 20)
     monkeypatch.setattr(geometry, "STRIPE", 1000)
