@@ -84,6 +84,30 @@ def test_bridges_equal_kruskal_on_all_distances(spark, monkeypatch, block, pivot
     assert sorted((r["i"], r["j"]) for r in N.bridge_links(frame(spark, x), linked).collect()) == sorted((r["i"], r["j"]) for r in want.select("i", "j").collect())
 
 
+def kruskal(spark, x, linked):
+    i, j = np.tril_indices(len(x), -1)
+    every = spark.createDataFrame(list(zip(i.tolist(), j.tolist(), N.ball_distances(x[i], x[j]).tolist())), "i long, j long, d double")
+    want = spanning_links(spark.range(len(x)).withColumnRenamed("id", "node"), every, linked)
+    return sorted((r["i"], r["j"]) for r in want.select("i", "j").collect())
+
+
+def test_bridges_from_lists_search_no_blocks(spark, monkeypatch):
+    monkeypatch.setattr(N, "_dealt", lambda rows: pytest.fail("blocks were searched"))
+    x = ball(20)
+    linked = spark.createDataFrame([(i, i + 10) for i in range(0, 10, 2)], "i long, j long")
+    assert sorted((r["i"], r["j"]) for r in N.bridge_links(frame(spark, x), linked).collect()) == kruskal(spark, x, linked)
+
+
+def test_bridges_beyond_the_lists_are_searched(spark, monkeypatch):
+    """Groups that are far apart, whose lists have their own vectors alone."""
+    monkeypatch.setattr(N, "NEAR", 2)
+    monkeypatch.setattr(N, "BLOCK", 5)
+    x = np.concatenate([ball(8) * 0.1 + at for at in ([0.5, 0, 0], [0, 0.5, 0], [-0.4, 0, 0.2])])
+    x[[2, 9, 12, 17, 20, 23]] = x[0]  # more copies than a list holds
+    linked = spark.createDataFrame([], "i long, j long")
+    assert sorted((r["i"], r["j"]) for r in N.bridge_links(frame(spark, x), linked).collect()) == kruskal(spark, x, linked)
+
+
 def test_nothing_to_bridge(spark):
     x = ball(6)
     linked = spark.createDataFrame([(i, i + 1) for i in range(5)], "i long, j long")
