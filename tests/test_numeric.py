@@ -340,3 +340,15 @@ def test_best_links_of_blocks_are_those_of_all_pairs():
     assert sorted(found) == sorted((int(root), *e) for (_, root), e in want.items())
     alone = {"ids": ids[:5], "roots": np.zeros(5, int)}
     assert N._best(d[:5, :5], alone, alone, True) == []
+
+
+def test_gram_is_the_product_with_the_transpose(spark):
+    x = rng.integers(-2, 3, (7, 12)).astype(float)
+    x[2], x[0, 3] = 0, 1
+    cells = [(i, j, float(v) / 2) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(x))) for v in (x[i, j], x[i, j])]
+    cells = spark.createDataFrame([*cells, (0, 3, None)], "i long, j long, x double")
+    found = {(r["i"], r["j"]): r["x"] for r in L.gram(cells).collect()}
+    shared = (np.abs(x) @ np.abs(x.T)) > 0  # a pair that shares a column has a cell, though its products cancel
+    assert found == {(i, j): (x @ x.T)[i, j] for i, j in zip(*map(np.ndarray.tolist, np.nonzero(shared)))}
+    plan = L.gram(cells)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
